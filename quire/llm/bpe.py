@@ -442,26 +442,27 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", finish=None, schema: str = "ids binary", piece: int = PIECE) -> DataFrame:
-    """Encode every whole text: the id column and `ids` (little-endian unsigned 32-bit), or the columns that
-    `finish(bpe, ids, offsets)` makes of the rows of a batch. Long texts are encoded in pieces by other tasks and
-    joined by document."""
-    finish = finish or (lambda bpe, ids, offs: [[ids[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:])]])
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", then=None, schema: str = "ids binary", piece: int | None = PIECE) -> DataFrame:
+    """Encode every whole text: the id column and `ids` (little-endian unsigned 32-bit).
+
+    `then(bpe, rows)` may make other columns of each partition's rows: from an iterator of (id values, all ids, each
+    row's offsets) it yields lists of columns, the id first, as `schema` says. Texts of more than `piece` characters
+    are encoded in pieces by other tasks and joined by document; with None all rows stay in place and order."""
+    then = then or _ids
     kind = df.schema[id_col].dataType.simpleString()
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out_schema = f"id {kind}, {schema}"
     fields = pa_schema(out_schema)
     part_schema = f"key long, id {kind}, seq long, cut boolean, first boolean, last boolean"
 
-    def rows(bpe: Bpe, own: list, ids: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([own, *finish(bpe, ids, offs)], fields)], schema=fields)
+    def made(bpe: Bpe, rows) -> Iterator[pa.RecordBatch]:
+        for columns in then(bpe, rows):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
 
-    def short(batches):
+    def in_place(batches):
         bpe = load(path)
-        for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                part = b.slice(k, 1024)
-                yield rows(bpe, part["id"].to_pylist(), *bpe.encode_many(part["text"]))
+        cut = (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024))
+        yield from made(bpe, ((b["id"].to_pylist(), *bpe.encode_many(b["text"])) for b in cut))
 
     def cut_rows(batches):
         bpe = load(path)
@@ -479,19 +480,33 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([*(b[n] for n in fields.names[:-1]), pa.array(ids, pa.binary())], schema=fields)
 
     def joined(t: pa.Table) -> pa.Table:
-        bpe = load(path)
         t = t.sort_by("seq")
-        ids = np.frombuffer(bpe.joined_pieces(list(zip(*(t[n].to_pylist() for n in ("cut", "first", "last", "ids"))))), np.uint32)
-        return pa.Table.from_batches([rows(bpe, [t["id"][0].as_py()], ids, np.array([0, len(ids)]))])
+        ids = load(path).joined_pieces(list(zip(*(t[n].to_pylist() for n in ("cut", "first", "last", "ids")))))
+        return pa.table([t["id"][:1], pa.array([ids], pa.binary())], names=["id", "ids"])
+
+    def after(batches):
+        yield from made(load(path), ((b["id"].to_pylist(), *_flat(b["ids"])) for b in batches))
 
-    plain = base.where(F.length("text") <= piece).mapInArrow(short, out_schema)
+    if piece is None:
+        return base.mapInArrow(in_place, out_schema).withColumnRenamed("id", id_col)
+    plain = base.where(F.length("text") <= piece).mapInArrow(in_place, out_schema)
     long = base.where(F.length("text") > piece).withColumn("key", F.monotonically_increasing_id())
     parts = long.mapInArrow(cut_rows, part_schema + ", text string")
     dealt = parts.repartition(F.col("key"), F.col("seq")).mapInArrow(encode_pieces, part_schema + ", ids binary")
-    whole = dealt.groupBy("key").applyInArrow(joined, out_schema)
+    whole = dealt.groupBy("key").applyInArrow(joined, f"id {kind}, ids binary").mapInArrow(after, out_schema)
     return plain.unionByName(whole).withColumnRenamed("id", id_col)
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.frombuffer(x, np.uint32) for x in column.to_pylist()]
+    return np.concatenate([np.empty(0, np.uint32), *parts]), np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
+
+
+def _ids(bpe: Bpe, rows):
+    for own, ids, offs in rows:
+        yield own, [ids[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:])]
+
+
 def pa_schema(ddl: str) -> pa.Schema:
     """A Spark schema string of plain types as Arrow fields."""
     kinds = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
@@ -502,8 +517,9 @@ def op1_bpe(spark, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text of `documents`."""
     import public_tokenizers
 
-    def digests(bpe: Bpe, ids: np.ndarray, offs: np.ndarray) -> list[list]:
-        sha = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(offs[:-1], offs[1:])]
-        return [np.diff(offs), sha, [hashlib.sha256(t).hexdigest() for t in bpe.decode_many(ids, offs)]]
+    def digests(bpe: Bpe, rows):
+        for own, ids, offs in rows:
+            sha = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(offs[:-1], offs[1:])]
+            yield own, np.diff(offs), sha, [hashlib.sha256(t).hexdigest() for t in bpe.decode_many(ids, offs)]
 
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), finish=digests, schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), then=digests, schema="n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe
+from quire.llm import bpe, packing
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op10_packing": packing.op10_packing,
     }
 
 

@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     current = ctx.getCheckpointDir()
     if current is None:
-        ctx.setCheckpointDir(path or "/tmp/quire-checkpoints")
+        ctx.setCheckpointDir(path or "/tmp/checkpoints/quire")
     return (path or ctx.getCheckpointDir()).rstrip("/")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, packing
+from quire.llm import bpe, packing, rangecoder
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op3_token_ids": rangecoder.op3_token_ids,
         "op10_packing": packing.op10_packing,
     }
 

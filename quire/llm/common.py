@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -25,10 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or ctx.getCheckpointDir()).rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so a lost executor costs one reread."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a table in the shared folder, so a lost executor costs one reread."""
+    path = f"{shared_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def id_bucket(doc_id: Column, modulus: int) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, neardup, packing, rangecoder
+from quire.llm import bpe, neardup, packing, quality, rangecoder
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_quality": quality.op2_quality,
         "op3_token_ids": rangecoder.op3_token_ids,
         "op6_minhash": neardup.op6_minhash,
         "op10_packing": packing.op10_packing,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, neardup, packing, quality, rangecoder
+from quire.llm import bpe, langid, neardup, packing, quality, rangecoder, topk
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op2_quality": quality.op2_quality,
         "op3_token_ids": rangecoder.op3_token_ids,
+        "op5_langid": langid.op5_langid,
         "op6_minhash": neardup.op6_minhash,
+        "op8_topk": topk.op8_topk,
         "op10_packing": packing.op10_packing,
     }
 

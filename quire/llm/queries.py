@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, langid, neardup, packing, quality, rangecoder, topk
+from quire.llm import bpe, langid, linededup, neardup, packing, quality, rangecoder, topk
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op2_quality": quality.op2_quality,
         "op3_token_ids": rangecoder.op3_token_ids,
+        "op4_linededup": linededup.op4_linededup,
         "op5_langid": langid.op5_langid,
         "op6_minhash": neardup.op6_minhash,
         "op8_topk": topk.op8_topk,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_linededup": linededup.SQL}

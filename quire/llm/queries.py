@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, langid, linededup, neardup, packing, quality, rangecoder, topk
+from quire.llm import bpe, langid, linededup, neardup, packing, quality, rangecoder, secrets, topk
 
 
 def queries() -> dict:
@@ -13,10 +13,11 @@ def queries() -> dict:
         "op4_linededup": linededup.op4_linededup,
         "op5_langid": langid.op5_langid,
         "op6_minhash": neardup.op6_minhash,
+        "op7_secrets": secrets.op7_secrets,
         "op8_topk": topk.op8_topk,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_linededup": linededup.SQL}
+    return {"op4_linededup": linededup.SQL, "op7_secrets": secrets.sql()}

@@ -6,7 +6,7 @@
    maximum. Bands of ROWS registers are hashed to buckets. At a similarity of 0.85 no bucket is shared with a
    probability of (1 - 0.85^5)^24 < 1e-6.
 3. In buckets of up to SMALL classes all pairs are candidates, in larger ones all pairs with the least class. Candidates
-   whose likelihood (of the registers, given both sizes) peaks below 0.65, more than six deviations under 0.85, go. The
+   whose likelihood (of the registers, given both sizes) peaks MARGIN or more below the threshold, about six deviations, go. The
    rest are verified on their full sets.
 4. Larger buckets whose classes are then not all of one component are settled exactly: classes outside the bucket's
    most frequent component are compared with all classes of the buckets led by the same class, in blocks of bounded
@@ -33,7 +33,7 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 BASE = 1.001
 SMALL = 16
-LEAST = 0.65  # estimates below it cannot be links
+MARGIN = 0.2  # below the threshold; estimates lower than that cannot be links
 WORDS = 5
 
 _ODD = mix64(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -127,13 +127,19 @@ def _signatures(batches):
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([x.tobytes() for x in regs], pa.binary())], schema=fields)
 
 
-def _likely(batches):
-    fields = pa_schema("a long, b long")
-    for t in batches:
-        if t.num_rows:
-            a, b = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-            keep = np.concatenate([likeliest(a[k : k + 4096], b[k : k + 4096], t["na"].to_numpy()[k : k + 4096], t["nb"].to_numpy()[k : k + 4096]) for k in range(0, len(a), 4096)]) >= LEAST
-            yield pa.RecordBatch.from_arrays([t["a"].filter(pa.array(keep)), t["b"].filter(pa.array(keep))], schema=fields)
+def _likely(percent: int):
+    least = percent / 100 - MARGIN
+
+    def likely(batches):
+        fields = pa_schema("a long, b long")
+        for t in batches:
+            for k in range(0, t.num_rows, 4096):
+                part = t.slice(k, 4096)
+                a, b = (np.frombuffer(b"".join(part[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
+                keep = pa.array(likeliest(a, b, part["na"].to_numpy(), part["nb"].to_numpy()) >= least)
+                yield pa.RecordBatch.from_arrays([part["a"].filter(keep), part["b"].filter(keep)], schema=fields)
+
+    return likely
 
 
 def _linked(x: int, y: int, both: int, percent: int) -> bool:
@@ -209,7 +215,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     one = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     two = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
     near = pairs.join(one, "a").join(two, "b").where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
-    likely = stored(near.mapInArrow(_likely, "a long, b long"))
+    likely = stored(near.mapInArrow(_likely(percent), "a long, b long"))
 
     big = members.where(F.col("size") > SMALL).select("leader", "doc").distinct()
     needed = likely.select("a").union(likely.select("b")).union(big.select("doc")).distinct().withColumnRenamed("a", "doc")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, langid, linededup, neardup, packing, quality, rangecoder, secrets, topk
+from quire.llm import bpe, langid, linededup, lm, neardup, packing, quality, rangecoder, secrets, topk
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_minhash": neardup.op6_minhash,
         "op7_secrets": secrets.op7_secrets,
         "op8_topk": topk.op8_topk,
+        "op9_lm": lm.op9_lm,
         "op10_packing": packing.op10_packing,
     }
 

@@ -37,17 +37,22 @@ def _tokens(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Each line of enough tokens: id, text hash, position, line key, leaf key, tokens."""
+    """Each line of enough tokens: id, text hash, position, line key, leaf key."""
     lines = docs.select("__t_id", "__t_text", F.posexplode(F.split("__t_raw", "\n")).alias("__t_pos", "line"))
     lines = lines.withColumn("tokens", _tokens(F.col("line"))).where(F.size("tokens") >= MIN_TOKENS)
-    return lines.select("__t_id", "__t_text", "__t_pos", F.xxhash64("tokens").alias("line"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), "tokens")
+    return lines.select("__t_id", "__t_text", "__t_pos", F.xxhash64("tokens").alias("line"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"))
 
 
-def templates(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(line, template): the lines that take a generalised template of their leaf."""
+def templates(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(line, template): the lines that take a generalised template of their leaf. Tokens are cut again from one place of
+    each line in question, so no others travel."""
     known = pairs.groupBy("leaf", "line").agg(F.count("*").alias("texts"))
     leaves = known.groupBy("leaf").agg(F.sum("texts").alias("texts"), F.count("*").alias("distinct_lines")).where((F.col("texts") >= MIN_TEXTS) & (F.col("distinct_lines") > 1)).select("leaf")
-    distinct = stored(lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens")))
+    places = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min(F.struct("__t_text", "__t_id", "__t_pos")).alias("at"))
+    wanted = places.groupBy(F.col("at.__t_text").alias("hash"), F.col("at.__t_id").alias("of")).agg(F.collect_list(F.struct("leaf", "line", F.col("at.__t_pos").alias("pos"))).alias("found"))
+    met = wanted.join(docs, (F.col("hash") == F.col("__t_text")) & F.col("of").eqNullSafe(F.col("__t_id"))).dropDuplicates(["hash", "of"])
+    cut = met.select(F.split("__t_raw", "\n").alias("all"), F.explode("found").alias("f"))
+    distinct = stored(cut.select("f.leaf", "f.line", _tokens(F.get("all", F.col("f.pos"))).alias("tokens")))
     spots = distinct.select("leaf", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.count("*").alias("k"))
     fields = spots.groupBy("leaf", "pos").agg(F.max(F.struct("k", "token")).alias("top"), F.sum("k").alias("all"))
     fields = fields.select("leaf", "pos", F.when(F.col("top.k") >= MODE * F.col("all"), F.col("top.token")).alias("token"))
@@ -60,9 +65,10 @@ def templates(lines: DataFrame, pairs: DataFrame) -> DataFrame:
 def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `df` with recurring lines gone from the text, and __t_lines and __t_dropped, counts of lines."""
     docs = df.withColumn("__t_raw", F.col(text_col)).withColumn("__t_id", F.col(id_col)).withColumn("__t_text", F.xxhash64(text_col))
-    lines = _lines(docs.select("__t_id", "__t_text", "__t_raw"))
+    texts = docs.select("__t_id", "__t_text", "__t_raw")
+    lines = stored(_lines(texts))
     pairs = stored(lines.groupBy("leaf", "line", "__t_text").agg(F.min("__t_id").alias("least")))
-    shaped = templates(lines, pairs)
+    shaped = templates(texts, lines, pairs)
     told = stored(pairs.select("line", "__t_text", "least").join(shaped, "line", "left").withColumn("template", F.coalesce("template", "line")))
     seen = told.groupBy("template", "__t_text").agg(F.min("least").alias("least"))
     recurring = seen.groupBy("template").agg(F.count("*").alias("texts"), F.min("least").alias("keeper")).where(F.col("texts") >= MIN_TEXTS)

@@ -2,8 +2,9 @@
 
 Lines of at least MIN_TOKENS tokens fall to a leaf of a tree of fixed depth: token count, then the first DEPTH tokens,
 where a token with a digit counts as the variable `<*>`. In a leaf of several different lines, a position is constant if
-one token stands there in at least MODE of the leaf's distinct lines; a leaf with constants at SIMILAR of its positions
-or more has a template with variables elsewhere, taken by the lines that have all its constants. Any other line is a
+one token stands there in at least MODE of the leaf's distinct lines; a leaf of SHAPED tokens or more with constants at
+SIMILAR of its positions, two of them beyond the first DEPTH, has a template with variables elsewhere, taken by the lines
+that have all its constants. Any other line is a
 template itself, its tokens with digits being variables. A template found in MIN_TEXTS different texts or more recurs:
 its lines are dropped from all documents but the first (least id) that has it.
 
@@ -28,6 +29,7 @@ MIN_TEXTS = 3
 DEPTH = 3
 MODE = 0.8
 SIMILAR = 0.6
+SHAPED = 6  # tokens of a line that may have variables without digits
 
 
 def _tokens(line: Column) -> Column:
@@ -57,7 +59,7 @@ def templates(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
     fields = spots.groupBy("leaf", "pos").agg(F.max(F.struct("k", "token")).alias("top"), F.sum("k").alias("all"))
     fields = fields.select("leaf", "pos", F.when(F.col("top.k") >= MODE * F.col("all"), F.col("top.token")).alias("token"))
     grown = fields.groupBy("leaf").agg(F.count("token").alias("constants"), F.count("*").alias("width"), F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("fields"))
-    grown = grown.where((F.col("constants") >= SIMILAR * F.col("width")) & (F.col("constants") < F.col("width"))).select("leaf", F.col("fields.token").alias("shape"))
+    grown = grown.where((F.col("width") >= SHAPED) & (F.col("constants") >= F.greatest(SIMILAR * F.col("width"), F.lit(DEPTH + 2.0))) & (F.col("constants") < F.col("width"))).select("leaf", F.col("fields.token").alias("shape"))
     fits = F.forall(F.zip_with("tokens", "shape", lambda t, s: s.isNull() | (t == s)), lambda ok: ok)
     return distinct.join(grown, "leaf").where(fits).select("line", F.xxhash64(F.lit("shape"), "leaf").alias("template"))
 
@@ -102,7 +104,7 @@ t_leaves AS (SELECT width, lead FROM t_known GROUP BY ALL HAVING sum(texts) >= {
 t_distinct AS (SELECT width, lead, tokens FROM t_known SEMI JOIN t_leaves USING (width, lead)),
 t_spots AS (SELECT width, lead, pos, token, count(*) AS k FROM (SELECT width, lead, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM t_distinct) GROUP BY ALL),
 t_fields AS (SELECT width, lead, pos, CASE WHEN max(k) >= {MODE} * sum(k) THEN arg_max(token, k) END AS token FROM t_spots GROUP BY ALL),
-t_grown AS (SELECT width, lead, array_agg(coalesce(token, '') ORDER BY pos) AS shape FROM t_fields GROUP BY ALL HAVING count(token) >= {SIMILAR} * width AND count(token) < width),
+t_grown AS (SELECT width, lead, array_agg(coalesce(token, '') ORDER BY pos) AS shape FROM t_fields GROUP BY ALL HAVING width >= {SHAPED} AND count(token) >= greatest({SIMILAR} * width, {DEPTH + 2}) AND count(token) < width),
 t_shaped AS (SELECT d.tokens, d.width, d.lead FROM t_distinct d JOIN t_grown g ON d.width = g.width AND d.lead = g.lead
   WHERE len(list_filter(list_zip(d.tokens, g.shape), lambda z: z[2] <> '' AND z[1] <> z[2])) = 0),
 t_told AS (SELECT p.tokens, p.text, p.least, CASE WHEN s.tokens IS NULL THEN {{'w': 0, 't': p.tokens}} ELSE {{'w': s.width, 't': s.lead}} END AS template FROM t_pairs p LEFT JOIN t_shaped s ON p.tokens = s.tokens),

@@ -1,0 +1,84 @@
+"""SQLite document files as a Spark data source, and a sink that writes one file for each document.
+
+    spark.dataSource.register(SqliteDocuments)
+    spark.read.format("sqlite_documents").schema("path string, id string, text string").option("path", folder).option("table", "units").load()
+
+Each file is one partition, opened read-only with `query_only`; columns that a file lacks are null.
+"""
+
+from __future__ import annotations
+
+import glob
+import os
+import sqlite3
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+class _File(InputPartition):
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.path = path
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, schema, options):
+        self.names = [f.name for f in schema.fields if f.name != "path"]
+        self.all = [f.name for f in schema.fields]
+        self.folder, self.table = options["path"], options.get("table", "units")
+        self.pattern, self.most = options.get("pattern", "*.sqlite"), int(options.get("max_blob", 512 << 20))
+
+    def partitions(self):
+        found = sorted(glob.glob(os.path.join(self.folder, "**", self.pattern), recursive=True))
+        return [_File(p) for p in found if not any(x.startswith(".") for x in os.path.relpath(p, self.folder).split(os.sep))]
+
+    def read(self, partition):
+        with open(partition.path, "rb") as f:
+            if f.read(16) != b"SQLite format 3\x00":
+                raise ValueError(f"not an SQLite file: {partition.path}")
+        con = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
+        try:
+            con.execute("PRAGMA query_only = 1")
+            con.setlimit(sqlite3.SQLITE_LIMIT_LENGTH, self.most)
+            held = {r[1] for r in con.execute(f'PRAGMA table_info("{self.table}")')}
+            columns = ", ".join(f'"{n}"' if n in held else "NULL" for n in self.names) or "1"
+            for row in con.execute(f'SELECT {columns} FROM "{self.table}"'):
+                values = dict(zip(self.names, row), path=partition.path)
+                yield tuple(values[n] for n in self.all)
+        finally:
+            con.close()
+
+
+class SqliteDocuments(DataSource):
+    @classmethod
+    def name(cls):
+        return "sqlite_documents"
+
+    def schema(self):
+        return "path string, id string, text string"
+
+    def reader(self, schema):
+        return _Reader(schema, self.options)
+
+
+def write_documents(units: DataFrame, folder: str, table: str = "units") -> DataFrame:
+    """One SQLite file for each docref, put in place whole by a rename; returns docref, path, rows. `folder` must be one
+    that executors share."""
+    names = [c for c in units.columns if c != "docref"]
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        docref = pdf["docref"].iloc[0]
+        path = os.path.join(folder, f"{docref}.sqlite")
+        part = f"{path}.{os.getpid()}.tmp"
+        con = sqlite3.connect(part)
+        columns = ", ".join(f'"{n}"' for n in names)
+        con.execute(f'CREATE TABLE "{table}" ({columns})')
+        con.executemany(f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(names))})', pdf[names].astype(object).where(pdf[names].notna(), None).values.tolist())
+        con.commit()
+        con.close()
+        os.replace(part, path)
+        return pd.DataFrame([(docref, path, len(pdf))], columns=["docref", "path", "rows"])
+
+    return units.groupBy("docref").applyInPandas(write, "docref string, path string, rows long")

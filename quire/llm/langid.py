@@ -74,7 +74,7 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def cells(x: np.ndarray, k: int) -> np.ndarray:
-    return (mix64(x + np.uint64(k) * _STEP) & np.uint64(CELLS - 1)).astype(np.int64)
+    return (mix64(x + np.uint64(k * int(_STEP) % (1 << 64))) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 class Filters:

@@ -35,13 +35,13 @@ from quire.llm import bpe as B
 from quire.llm.common import shared_dir, table
 
 BLOCK = 4096
-LANES = 1024
+LANES = 2048
 MAGIC = b"QIDS1\0"
 EXPERTS = 4
 SEGMENT = 256  # ids that are given to one expert together when the experts are fitted
 SHARE = 18  # bits of the sum of an expert's shares
 WEIGHT = 10  # bits of the sum of the three predictions' weights
-SLOTS = 4096  # of each context table
+SLOTS = 1024  # of each context table
 _U32, _LOW32, _TOTAL = np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(SHARE + WEIGHT)
 
 
@@ -96,57 +96,59 @@ class Experts:
 
 
 class _Model:
-    """The state of all lanes; the same calls in the same order make the same state in coder and decoder."""
+    """The state of all lanes; the same calls in the same order make the same state in coder and decoder.
+
+    A table's entry packs the id and, in the low 4 bits, how sure it is (0: empty)."""
 
     def __init__(self, lanes: int, experts: Experts):
-        self.e, self.off = experts, np.arange(lanes) * SLOTS
-        self.id1, self.id2 = np.full((2, lanes * SLOTS), -1, np.int32)
-        self.sure1, self.sure2 = np.zeros((2, lanes * SLOTS), np.int8)
-        self.row = np.arange(lanes) * 16
+        self.e, self.off = experts, np.arange(lanes, dtype=np.int32) * SLOTS
+        self.one, self.two = np.zeros((2, lanes * SLOTS), np.int32)
+        self.row = np.arange(lanes, dtype=np.int32) * 16
         self.hit1, self.hit2 = np.full((2, lanes * 16), 1 << 12, np.int32)  # of 2^16; bucket 0: no candidate
         self.hit1[::16] = self.hit2[::16] = 0
         self.recent = np.zeros((lanes, experts.k), np.int32)
-        self.a, self.b = np.zeros((2, lanes), np.int64)
+        self.a, self.b = np.zeros((2, lanes), np.int32)
         self.best = np.zeros(lanes, np.int64)
 
     def predict(self) -> tuple[np.ndarray, ...]:
-        """The order-2 and order-1 ids, their weights, and order 0's weight (of 2^WEIGHT, at least 1)."""
-        self.s1 = self.off + ((self.a * 40503 >> 3) & (SLOTS - 1))
-        self.s2 = self.off + ((self.a * 30011 + self.b * 52711 >> 4) & (SLOTS - 1))
-        self.c1, self.c2 = self.id1[self.s1], self.id2[self.s2]
-        self.u1, self.u2 = self.sure1[self.s1], self.sure2[self.s2]
-        self.k2 = self.row + np.where(self.c2 >= 0, 1 + self.u2, 0)
-        self.k1 = self.row + np.where((self.c1 >= 0) & (self.c1 != self.c2), 1 + self.u1, 0)
-        self.p2, self.p1 = self.hit2[self.k2], self.hit1[self.k1]
+        """The order-2 and order-1 ids, and the bounds of their weights in the range (of 2^WEIGHT, the rest order 0)."""
+        h = self.a * np.int32(40503)
+        self.s1 = ((h >> 3) & (SLOTS - 1)) + self.off
+        self.s2 = ((h + self.b * np.int32(52711) >> 4) & (SLOTS - 1)) + self.off
+        self.v1, self.v2 = self.one.take(self.s1), self.two.take(self.s2)
+        self.c1, self.c2 = self.v1 >> 4, self.v2 >> 4
+        self.k2 = self.row + (self.v2 & 15)
+        self.k1 = self.row + np.where(self.c1 == self.c2, 0, self.v1 & 15)
+        self.p2, self.p1 = self.hit2.take(self.k2), self.hit1.take(self.k1)
         w2 = self.p2 * 1000 >> 16
-        w1 = (self.p1 * (1000 - w2)) >> 16
-        return self.c2, self.c1, w2.astype(np.int64), w1.astype(np.int64), (1 << WEIGHT) - w2.astype(np.int64) - w1
+        return self.c2, self.c1, w2, w2 + ((self.p1 * (1000 - w2)) >> 16)
 
     def learn(self, x: np.ndarray) -> None:
-        one, two = self.c1 == x, self.c2 == x
-        self.hit2[self.k2] = np.where(self.k2 == self.row, 0, self.p2 + ((np.where(two, 65535, 0) - self.p2) >> 4))
-        self.hit1[self.k1] = np.where((self.k1 == self.row) | two, self.p1, self.p1 + ((np.where(one, 65535, 0) - self.p1) >> 4))
-        self.sure1[self.s1] = np.where(one, np.minimum(self.u1 + 1, 14), self.u1 >> 1)
-        self.sure2[self.s2] = np.where(two, np.minimum(self.u2 + 1, 14), self.u2 >> 1)
-        self.id1[self.s1] = np.where(one | (self.u1 > 2), self.c1, x)
-        self.id2[self.s2] = np.where(two | (self.u2 > 2), self.c2, x)
+        for slots, table, old, guess, bucket, hits, p in ((self.s2, self.two, self.v2, self.c2, self.k2, self.hit2, self.p2), (self.s1, self.one, self.v1, self.c1, self.k1, self.hit1, self.p1)):
+            sure = old & 15
+            right = (guess == x) & (sure > 0)
+            hits[bucket] = np.where(p > 0, p + ((right * np.int32(65535) - p) >> 4), 0)
+            lower = np.where(sure > 4, old - (sure - (sure >> 1)), (x << 4) + 1)
+            table[slots] = np.where(right, old + (sure < 15), lower)
         if self.e.k > 1:
-            self.recent += self.e.score[x] - (self.recent >> 5)
+            self.recent += self.e.score.take(x, 0) - (self.recent >> 5)
             self.best = self.recent.argmax(1)
         self.a, self.b = x, self.a
 
-    def span(self, x: np.ndarray, c2, c1, w2, w1, w0) -> tuple[np.ndarray, np.ndarray]:
-        """Where id x lies in the range: start and size, of 2^(SHARE + WEIGHT)."""
+    def span(self, x: np.ndarray, c2, c1, w2, w1) -> tuple[np.ndarray, np.ndarray]:
+        """Where id x lies in the range: start and size, of 2^(SHARE + WEIGHT); w1 is the end of both weights."""
         i = self.best * self.e.n + x
-        two, one = (c2 == x) & (w2 > 0), (c1 == x) & (w1 > 0)
-        start = np.where(two, 0, np.where(one, w2 << SHARE, ((w2 + w1) << SHARE) + w0 * self.e.starts[i]))
-        return start, np.where(two, w2 << SHARE, np.where(one, w1 << SHARE, w0 * self.e.flat[i]))
+        two, one = (c2 == x) & (w2 > 0), (c1 == x) & (w1 > w2)
+        rest = (1 << WEIGHT) - w1
+        low, size = self.e.starts.take(i) * rest + (w1 << SHARE), self.e.flat.take(i) * rest
+        start = np.where(two, 0, np.where(one, w2 << SHARE, low))
+        return start, np.where(two, w2 << SHARE, np.where(one, (w1 - w2) << SHARE, size))
 
-    def find(self, v: np.ndarray, c2, c1, w2, w1, w0) -> np.ndarray:
+    def find(self, v: np.ndarray, c2, c1, w2, w1) -> np.ndarray:
         """The id whose part of the range holds v."""
-        inside = np.clip((v - ((w2 + w1) << SHARE)) // w0, 0, (1 << SHARE) - 1)
+        inside = np.clip((v - (w1 << SHARE)) // ((1 << WEIGHT) - w1), 0, (1 << SHARE) - 1)
         x = np.searchsorted(self.e.search, inside + (self.best << SHARE), "right") - self.best * self.e.n
-        return np.where(v < w2 << SHARE, c2, np.where(v < (w2 + w1) << SHARE, c1, x))
+        return np.where(v < w2 << SHARE, c2, np.where(v < w1 << SHARE, c1, x)).astype(np.int32)
 
 
 def _sizes(n: int) -> np.ndarray:
@@ -169,7 +171,7 @@ def encode_lanes(dense: np.ndarray, experts: Experts) -> list[np.ndarray]:
     """The words of each block of dense ids."""
     sizes = _sizes(len(dense))
     n = len(sizes)
-    grid = np.zeros(n * BLOCK, np.int64)
+    grid = np.zeros(n * BLOCK, np.int32)
     grid[: len(dense)] = dense
     grid = np.ascontiguousarray(grid.reshape(n, BLOCK).T)
     m = _Model(n, experts)
@@ -198,7 +200,7 @@ def decode_lanes(sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, exper
     low, span = np.zeros(n, np.uint64), np.full(n, np.iinfo(np.uint64).max, np.uint64)
     value = (words[pos] << _U32) | words[pos + 1]
     pos += 2
-    grid = np.zeros((int(sizes[0]), n), np.int64)
+    grid = np.zeros((int(sizes[0]), n), np.int32)
     for t in range(int(sizes[0])):
         told = m.predict()
         r = span >> _TOTAL

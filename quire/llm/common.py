@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +115,3 @@ def separated(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     out[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offs))] = data
     return out, offs + np.arange(n + 1)
 
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFFFFFF

@@ -1,7 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Lines with a telling word are searched for tokens of known form and for values assigned to keys such as `password`. Each
-candidate has FEATURES: length, character classes and transitions, dictionary coverage, and whether the path and the
+Lines with a telling word are searched for tokens of known form and for values assigned to keys such as `password`. A
+PEM private key is one finding from BEGIN to END, at the line of its BEGIN and after the other findings of that line;
+without an END, it takes the header and the base64 lines that follow. The SQL cuts texts into lines and so has the header
+alone, with its own score. Each candidate has FEATURES: length, character classes and transitions, dictionary coverage, and whether the path and the
 neighbouring words are those of examples. A forest of TREES small trees, trained on labelled findings, votes; a
 candidate with more than half of the votes is a secret. The trees are compiled to CASE expressions, so scanning runs
 as DataFrame functions in one pass without a shuffle, over whole texts.
@@ -47,6 +49,11 @@ FORM = "|".join(FORMS.values())
 LEFT = r"(^|[^\n]{0,24}?[^A-Za-z0-9_\n])"
 PATTERN = LEFT + "(?:(" + FORM + ")|(" + KEYS + r""")["']?[ \t]{0,3}(?:=>|=|:)[ \t]{0,3}["']?(""" + VALUE + "))"
 
+# A private key over all its lines, for Spark only: to END, or, if none comes before the next BEGIN, the base64 lines that follow. The loops are possessive, so they neither recurse nor backtrack.
+HEADER = FORMS["private_key"]
+_GAP = r"(?:\s|\\[nr])++"
+PEM = HEADER + r"(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:" + _GAP + r"[A-Za-z-]++: [^\n]*+)*+(?:(?:" + _GAP + r"[A-Za-z0-9+/=]{16,}+)++(?:" + _GAP + r"[A-Za-z0-9+/=]++\z)?+)?+)"
+
 # The features in SQL;
 
 
@@ -102,29 +109,37 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
     syllables = [a + b for a in "bcdfghlmnprstvw" for b in ("a", "e", "i", "o", "u", "an", "er", "in", "on", "ent")]
     prose = lambda: "".join(pick(syllables) for _ in range(int(r.integers(2, 6))))
     keys = ["password", "passwd", "secret", "token", "api_key", "access_key", "auth", "db_password", "SECRET"]
+    b64, url = up + low + dig + "+/", up + low + dig + "-_"
+    head = lambda: "-----BEGIN " + pick(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]) + "PRIVATE KEY-----"
+    pem = lambda h, body: h + pick(["\n", "\n", "\\n"]) + body + "\n" + h.replace("BEGIN", "END")
+    lines = lambda k: "\n".join(draw(b64, 64) for _ in range(int(k))) + "\n" + draw(b64, r.integers(4, 60)) + "=="
     out = []
     for _ in range(n):
         near = " ".join(prose() for _ in range(3)) + " "
         sep = pick(["=", ": ", ' = "', "='", ":"])
         if r.random() < 0.5:
-            kind = int(r.integers(9))
+            kind = int(r.integers(11))
             size = r.integers(16, 48)
             value = [
                 "AKIA" + draw(up + "234567", 16), "ghp_" + draw(up + low + dig, 36), "xoxb-" + draw(dig, 12) + "-" + draw(up + low + dig, 24),
                 "sk_live_" + draw(up + low + dig, 24), "AIza" + draw(up + low + dig + "_-", 35), draw("0123456789abcdef", size),
                 draw(up + low + dig + "+/", size), draw(up + low + dig, r.integers(12, 40)), draw(up + low + dig + "!@-_", r.integers(12, 24)),
+                "eyJ" + draw(url, r.integers(17, 60)) + ".eyJ" + draw(url, r.integers(24, 900)) + "." + draw(url, pick([43, 86, 342, 683])), pem(head(), lines(r.integers(1, 52))) if r.random() < 0.8 else head() + "\n" + lines(r.integers(1, 52)),
             ][kind]
-            left = near if kind < 5 and r.random() < 0.7 else near[-8:] + pick(keys) + sep
+            left = near if (kind < 5 or kind > 8) and r.random() < 0.7 else near[-8:] + pick(keys) + sep
             out.append((value, left, " " + prose(), pick(["src/app.py", "config/prod.env", "src1", "web/main.js", "tests/test_a.py"]), 1))
         else:
-            kind = int(r.integers(12)) % 10
+            kind = int(r.integers(16))
+            kind = kind - 10 if kind in (10, 11) else kind - 2 if kind > 11 else kind
             value = [
                 pick(["AKIA" + draw(up + "234567", 9) + "EXAMPLE", "AKIA" + draw(up + "234567", 10) + "SAMPLE", "AKIATESTKEY" + draw(up + dig, 9), "ghp_EXAMPLE" + draw(low + dig, 29)]),
                 pick(["AKIA" + pick("XA0") * 16, "ghp_" + "x" * 36, "sk_live_" + "test" * 6, "AIza" + "Sample" * 5 + "token"]), pick(["your", "my", "example", "changeme", "test"]) + pick(["-", "_", ""]) + pick(words) + pick(["", "-here", "123"]),
                 prose() + prose(), pick(words) + "_" + pick(words) + pick(["", "_" + pick(words)]), pick(words) + "/" + prose() + "/" + pick(words) + ".yml",
                 pick(["x", "0", "*", "a", "1"]) * int(r.integers(8, 24)), "12345678" + pick(["", "90", "9"]), pick(["os.environ", "process.env", "config.get", "self.client"]) + "." + pick(words), prose().capitalize() + pick(words),
+                "eyJ" + pick("xXA0.") * int(r.integers(8, 40)) + "." + pick("xyYA0") * int(r.integers(8, 40)) + "." + pick("xzZA0") * int(r.integers(8, 43)), "eyJ" + draw(url, r.integers(10, 34)) + "." + pick(["example", "eyJexample", "payload-example", "your-payload"]) + pick(["", "-" + pick(words)]) + "." + pick(["your-signature", "example-signature", "signature-here-placeholder"]),
+                head(), pem(head(), pick(["...", "[...]", "your private key here", "<insert key>", "example key", "REDACTED", pick("xX*A0") * 64, "\n".join([pick("xX*A0") * 64] * int(r.integers(2, 30))), prose() + " " + prose(), "MII" + pick("xX*A.") * int(r.integers(3, 60))])),
             ][kind]
-            left = pick([near, near + "example "]) if kind < 2 and r.random() < 0.7 else near[-8:] + pick(keys) + sep
+            left = pick([near, near + "example "]) if (kind < 2 or kind > 9) and r.random() < 0.7 else near[-8:] + pick(keys) + sep
             out.append(((value + "aaaaaaaa")[:8] if len(value) < 8 else value, left, " " + prose(), pick(["src/app.py", "docs/example.md", "tests/test_b.py", "src1", "README"]), 0))
     return out
 
@@ -180,16 +195,35 @@ def _quoted(pattern: str) -> str:
 KIND = " ".join(f"when {{v}} rlike '^(?:{_quoted(p)})' then '{k}'" for k, p in FORMS.items())
 
 
+def _bound(name: str, value: str, body: str) -> str:
+    """`body` with `name` for the value of an expression that is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _breaks(x: str) -> str:
+    return f"cast(length({x}) - length(replace({x}, '\\n', '')) as bigint)"
+
+
 def findings(text: str, path: str, forest=None) -> Column:
     """An array of (line, item, kind, value, score, secret) of a text; `text` and `path` are SQL expressions."""
-    p = _quoted(PATTERN)
-    lines = f"filter(transform(split({text}, '\\n'), (x, i) -> struct(cast(i as bigint) as line, x as row)), l -> l.row rlike '{_quoted(TELLING)}')"
+    p, pem = _quoted(PATTERN), _quoted(PEM)
+    place = f"coalesce(cast({path} as string), '') as path"
+    # Blocks leave the text before it is cut into lines; their line breaks stay, so lines keep their numbers.
+    cut_out = f"if({text} rlike '{_quoted(HEADER)}', struct(split({text}, '{pem}', -1) as around, regexp_extract_all({text}, '{pem}', 0) as blocks), struct(array({text}) as around, filter(array(''), x -> false) as blocks))"
+    rest = f"array_join(transform(k.around, (x, i) -> if(i < size(k.blocks), concat(x, repeat('\\n', cast({_breaks('k.blocks[i]')} as int))), x)), '')"
+    lines = f"filter(transform(split({rest}, '\\n'), (x, i) -> struct(cast(i as bigint) as line, x as row)), l -> l.row rlike '{_quoted(TELLING)}')"
     cut = f"transform(regexp_extract_all(l.row, '{p}', 0), (m, j) -> struct(l.line as line, cast(j as bigint) as item, l.row as row, regexp_extract(m, '{p}', 1) as before, regexp_extract(m, '{p}', 2) as form, regexp_extract(m, '{p}', 3) as keyed, regexp_extract(m, '{p}', 4) as given, m as m))"
     raw = f"flatten(transform({lines}, l -> {cut}))"
     value = "if(c.form <> '', c.form, c.given)"
-    parts = f"transform({raw}, c -> struct(c.line, c.item, {value} as value, if(c.form <> '', 'form', 'assigned') as how, substring(c.m, 1, length(c.m) - length({value})) as lft, substring(c.row, instr(c.row, {value}) + length({value}), 16) as rgt, coalesce(cast({path} as string), '') as path))"
+    parts = f"transform({raw}, c -> struct(c.line, c.item, {value} as value, if(c.form <> '', 'form', 'assigned') as how, substring(c.m, 1, length(c.m) - length({value})) as lft, substring(c.row, instr(c.row, {value}) + length({value}), 16) as rgt, {place}))"
+    spans = f"transform(k.blocks, (b, i) -> {_breaks('k.around[i]')} + {_breaks('b')})"
+    begin = f"aggregate(slice(n, 1, i), 0L, (a, x) -> a + x) + {_breaks('k.around[i]')}"
+    blocks = _bound("n", spans, f"transform(k.blocks, (b, i) -> struct({begin} as line, b as value, 'form' as how, right(substring_index(k.around[i], '\\n', -1), 25) as lft, substring(substring_index(k.around[i + 1], '\\n', 1), 1, 16) as rgt, {place}))")
+    # Items of a line go on from those of its other findings.
+    numbered = f"transform(q, (b, i) -> struct(b.line, cast(size(filter(f, x -> x.line = b.line)) + size(filter(slice(q, 1, i), x -> x.line = b.line)) as bigint) as item, b.value, b.how, b.lft, b.rgt, b.path))"
+    both = _bound("k", cut_out, _bound("f", parts, f"if(size(k.blocks) = 0, f, concat(f, {_bound('q', blocks, numbered)}))"))
     sql = features("spark", "s.value", "s.lft", "s.rgt", "s.path")
-    scored = f"transform({parts}, s -> struct(s.line, s.item, s.value, s.how, {', '.join(f'{x} as {k}' for k, x in sql.items())}))"
+    scored = f"transform({both}, s -> struct(s.line, s.item, s.value, s.how, {', '.join(f'{x} as {k}' for k, x in sql.items())}))"
     counted = f"transform({scored}, s -> struct(s.line, s.item, case when s.how = 'assigned' then 'assigned' {KIND.replace('{v}', 's.value')} end as kind, s.value, {votes(forest or default_forest(), [f's.{k}' for k in sql])} as n))"
     made = f"transform({counted}, s -> struct(s.line, s.item, s.kind, s.value, s.n / {TREES}D as score, 2 * s.n > {TREES} as secret))"
     return F.expr(f"if({text} rlike '{_quoted(TELLING)}', {made}, filter(array(struct(0L as line, 0L as item, '' as kind, '' as value, 0D as score, false as secret)), x -> false))")

@@ -353,6 +353,20 @@ def test_private_keys_whole(spark):
     assert secrets.redact(spark.createDataFrame([(1, many, "a")], "doc_id long, text string, source string")).count() == 1
 
 
+def test_secrets_to_their_end(spark):
+    rng = np.random.default_rng(6)
+    draw = lambda k: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), k))
+    value, part = draw(300), draw(24)
+    forms = [f"eyJ{draw(700)}.eyJ{draw(900)}.{draw(683)}", f"ghp_{draw(90)}", f"sk_live_{draw(99)}", f"xoxb-{draw(30)}-{draw(80)}"]
+    rows = [(i, f"the value {x} in prose") for i, x in enumerate(forms)]
+    rows += [(10, f"password = {value} st"), (11, f"password          =          {value} st"), (12, f"the_very_long_name_of_a_service_and_its_client_password={value} st"), (13, f"token={part} and token={part}{draw(9)} st"), (14, "aZ9-" * 20_000 + f" password={value} st")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'src/app.py' as source")
+    text = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert [text[i] for i in range(4)] == ["the value [REDACTED] in prose"] * 4
+    assert text[10] == "password = [REDACTED] st" and text[11] == "password          =          [REDACTED] st" and text[12].endswith("_client_password=[REDACTED] st")
+    assert text[13] == "token=[REDACTED] and token=[REDACTED] st" and text[14].endswith(" password=[REDACTED] st")
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, sf_dir, name):
     import duckdb

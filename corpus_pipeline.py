@@ -1,7 +1,7 @@
 """A training-data pipeline over `documents`: each stage is written as Parquet and read again by the next.
 
-language_id drops what no language's filters hold (null texts, texts without letters or of no known language) and fills
-null languages; how clear a language is depends on how many there are, so no threshold of the score drops a text. line_dedup drops lines of recurring templates. near_duplicates keeps one document of each group of a
+language_id drops null texts and texts without letters, and fills null languages where one could be learnt; how clear a
+language is depends on how many there are, so no threshold of the score drops a text. line_dedup drops lines of recurring templates. near_duplicates keeps one document of each group of a
 similarity of 0.8 or more. secrets masks what the scanner accepts. packing, the last, returns the packed pieces.
 
 Defined cases are those of the operators; besides, a document emptied by line dedup stays as an empty text, rows
@@ -29,8 +29,8 @@ def _sized(df: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = langid.learn(docs)
     told = langid.identify(docs, filters, {c: F.col(c) for c in docs.columns})
-    kept = told.where("lang_pred <> 'und'")
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    kept = told.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"[\p{L}\p{M}]"))
+    return kept.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit("und")))).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,17 +1,20 @@
 """Language identification by language-bitmask n-gram filters.
 
-An n-gram is ORDER code points of lower-cased text with runs of non-letters as one blank. For each language the n-grams
+An n-gram is ORDER code points of lower-cased text with runs of non-letters as one blank, and a blank at either end. For each language the n-grams
 of its training texts are counted; those that make up at least SHARE of the language's n-grams and are not MUCH rarer
 there than in another language enter a bit-sliced Bloom filter: CELLS words of 64 bits, a bit for each language. The AND
 of an n-gram's HASHES cells is the set of all languages that hold it, from one probe. A text's popcount for a language
 is corrected for false positives, (hits - n f) / (1 - f) with f = filled share ^ HASHES; the largest decides.
 The score is the winner's share of all corrected popcounts.
 
+A text none of whose n-grams is held is told by its letters in the same way, and if none of these is held, it gets the
+language with the most texts, with score 0.
+
 Only texts with a non-null language are learnt from: of each language up to TEXTS, chosen by a hash of their id. The
 filter has a fixed size and goes to all tasks; languages beyond 64 would need a wider word and raise ValueError.
 
-Defined cases: null texts and texts without a letter are `und` with score 0; texts whose n-grams no filter holds, and
-all texts when nothing could be learnt, are `und` too; ids may repeat or be null; other columns are not read.
+Defined cases: null texts and texts without a letter are `und` with score 0; so are
+all texts when no language could be learnt; ids may repeat or be null; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +37,8 @@ HASHES = 3
 TEXTS = 5_000
 SHARE = 2e-6
 MUCH = 40.0
-LEAST = 2  # texts in which an n-gram must occur
+LEAST = 2  # texts in which an n-gram must occur,
+FEW = 20  # in languages of this many texts or more
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,16 +55,21 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return low, low > 0
 
 
-def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """N-gram hashes and their rows, and each row's number of letters."""
+def grams(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-gram hashes (of order 1: of letters) and their rows, and each row's number of letters."""
     n = len(offs) - 1
     cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     at = offs if len(cp) == len(data) else np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offs]
-    low = _letters()[0][cp]
+    row = np.repeat(np.arange(n), np.diff(at))
+    low = np.zeros(len(cp) + 2 * n, np.uint32)  # a blank before and after each row
+    low[np.arange(len(cp)) + 2 * row + 1] = _letters()[0][cp]
+    at = at + 2 * np.arange(n + 1)
     row = np.repeat(np.arange(n), np.diff(at))
     letters = np.bincount(row[low > 0], minlength=n)
+    if order == 1:
+        return mix64(low[low > 0].astype(np.uint64) + _STEP), row[low > 0], letters
     first = np.zeros(len(low), bool)
-    first[at[:-1][np.diff(at) > 0]] = True
+    first[at[:-1]] = True
     keep = (low > 0) | first
     keep[1:] |= (low[:-1] > 0) & ~first[1:]
     low, row = low[keep], row[keep]
@@ -78,20 +87,20 @@ def cells(x: np.ndarray, k: int) -> np.ndarray:
 
 
 class Filters:
-    def __init__(self, languages: list[str], words: np.ndarray):
+    def __init__(self, languages: list[str], words: np.ndarray, usual: str = "und"):
         if len(languages) > 64:
             raise ValueError("a filter word holds 64 languages")
-        self.languages, self.words = languages, words
+        self.languages, self.words, self.usual = languages, words, usual
         filled = np.array([np.count_nonzero(words >> np.uint64(i) & np.uint64(1)) for i in range(len(languages))]) / CELLS
         self.false = filled**HASHES
 
     @classmethod
-    def build(cls, languages: list[str], members: list[np.ndarray]) -> Filters:
+    def build(cls, languages: list[str], members: list[np.ndarray], usual: str = "und") -> Filters:
         words = np.zeros(CELLS, np.uint64)
         for i, x in enumerate(members):
             for k in range(HASHES):
                 words[cells(x, k)] |= np.uint64(1 << i)
-        return cls(languages, words)
+        return cls(languages, words, usual)
 
     def masks(self, x: np.ndarray) -> np.ndarray:
         """The languages that hold each n-gram, as bits."""
@@ -100,21 +109,29 @@ class Filters:
             out = out & self.words[cells(x, k)]
         return out
 
+    def estimates(self, x: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """Each row's corrected popcount for each language."""
+        mask, total = self.masks(x), np.bincount(row, minlength=n)
+        est = np.zeros((n, max(1, len(self.languages))))
+        for k in range(len(self.languages)):
+            hits = np.bincount(row[(mask >> np.uint64(k) & np.uint64(1)).astype(bool)], minlength=n)
+            est[:, k] = np.maximum(0, (hits - total * self.false[k]) / (1 - self.false[k]))
+        return est
+
     def predict(self, column) -> tuple[list[str], np.ndarray]:
         data, offs, _ = strings(column)
         names, scores = [], []
         for i, j, part, po in slices(data, offs, 1 << 20):
             x, row, letters = grams(part, po)
-            mask, n = self.masks(x), j - i
-            total = np.bincount(row, minlength=n)
-            est = np.zeros((n, max(1, len(self.languages))))
-            for k in range(len(self.languages)):
-                hits = np.bincount(row[(mask >> np.uint64(k) & np.uint64(1)).astype(bool)], minlength=n)
-                est[:, k] = np.maximum(0, (hits - total * self.false[k]) / (1 - self.false[k]))
+            est = self.estimates(x, row, j - i)
+            lost = (est.max(1) <= 0) & (letters > 0)
+            if lost.any():
+                x, row, _ = grams(part, po, 1)
+                est[lost] = self.estimates(x[lost[row]], row[lost[row]], j - i)[lost]
             best = est.argmax(1)
             top, all_ = est.max(1), est.sum(1)
             sure = (top > 0) & (letters > 0)
-            names += [self.languages[b] if s else "und" for b, s in zip(best.tolist(), sure)]
+            names += [self.languages[b] if s else self.usual if k else "und" for b, s, k in zip(best.tolist(), sure, letters > 0)]
             scores.append(np.where(sure, top / np.maximum(all_, 1e-300), 0.0))
         return names, np.concatenate(scores) if scores else np.empty(0)
 
@@ -134,30 +151,32 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             names = np.array([languages.index(x) for x in b["lang"].to_pylist()])
             data, offs, _ = strings(b["text"])
             for i, j, part, po in slices(data, offs, 4 << 20):
-                x, row, _ = grams(part, po)
-                lang = names[i:j][row]
-                order = np.lexsort((row, x, lang))
-                x, row, lang = x[order], row[order], lang[order]
-                if not len(x):
-                    continue
-                new = np.ones(len(x), bool)
-                new[1:] = (x[1:] != x[:-1]) | (lang[1:] != lang[:-1])
-                text = new.copy()
-                text[1:] |= row[1:] != row[:-1]
-                at = np.flatnonzero(new)
-                yield pa.RecordBatch.from_pydict({"lang": lang[at], "gram": x[at].view(np.int64), "n": np.diff(np.append(at, len(x))), "texts": np.add.reduceat(text.astype(np.int64), at)})
-
-    counted = rows.where(place < share).mapInArrow(count, "lang long, gram long, n long, texts long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+                for size in (ORDER, 1):
+                    x, row, _ = grams(part, po, size)
+                    lang = names[i:j][row]
+                    order = np.lexsort((row, x, lang))
+                    x, row, lang = x[order], row[order], lang[order]
+                    if not len(x):
+                        continue
+                    new = np.ones(len(x), bool)
+                    new[1:] = (x[1:] != x[:-1]) | (lang[1:] != lang[:-1])
+                    text = new.copy()
+                    text[1:] |= row[1:] != row[:-1]
+                    at = np.flatnonzero(new)
+                    yield pa.RecordBatch.from_pydict({"size": np.full(len(at), size), "lang": lang[at], "gram": x[at].view(np.int64), "n": np.diff(np.append(at, len(x))), "texts": np.add.reduceat(text.astype(np.int64), at)})
+
+    counted = rows.where(place < share).mapInArrow(count, "size long, lang long, gram long, n long, texts long").groupBy("size", "lang", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    totals = {r["lang"]: r["n"] for r in counted.where(F.col("size") == ORDER).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     members: list[np.ndarray] = [np.empty(0, np.uint64) for _ in languages]
     if totals:
         rate = F.col("n") / F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in totals.items()])
+        few = [k for k, x in enumerate(languages) if sizes[x] < FEW]
         rated = counted.withColumn("rate", rate)
         by = rated.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "rate", "texts")).alias("of"))
-        held = by.select("gram", "most", F.explode("of").alias("x")).where((F.col("x.rate") >= SHARE) & (F.col("x.rate") * MUCH >= F.col("most")) & (F.col("x.texts") >= LEAST))
+        held = by.select("gram", "most", F.explode("of").alias("x")).where((F.col("x.rate") >= SHARE) & (F.col("x.rate") * MUCH >= F.col("most")) & (F.col("x.lang").isin(few) | (F.col("x.texts") >= LEAST)))
         found = held.select(F.col("x.lang").alias("lang"), "gram").toPandas()  # at most languages / SHARE rows
         members = [found["gram"].to_numpy(np.int64)[found["lang"].to_numpy() == k].view(np.uint64) for k in range(len(languages))]
-    return Filters.build(languages, members)
+    return Filters.build(languages, members, min(languages, key=lambda x: (-sizes[x], x)) if languages else "und")
 
 
 def identify(df: DataFrame, filters: Filters, carry: dict | None = None, text_col: str = "text") -> DataFrame:
@@ -167,7 +186,7 @@ def identify(df: DataFrame, filters: Filters, carry: dict | None = None, text_co
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
     fields = pa_schema(schema + ", lang_pred string, score double")
     names = list(carry)
-    shipped = df.sparkSession.sparkContext.broadcast((filters.languages, filters.words))
+    shipped = df.sparkSession.sparkContext.broadcast((filters.languages, filters.words, filters.usual))
 
     def predict(batches):
         own = Filters(*shipped.value)

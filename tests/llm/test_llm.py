@@ -367,6 +367,20 @@ def test_secrets_to_their_end(spark):
     assert text[13] == "token=[REDACTED] and token=[REDACTED] st" and text[14].endswith(" password=[REDACTED] st")
 
 
+def test_every_text_with_letters_has_a_language(spark, sf_dir):
+    import corpus_pipeline as P
+
+    rows = [(i, f"the cat and the other cat sat on the mat number {chr(97 + i)} A.", "en") for i in range(25)]
+    rows += [(100, "日本語の文章は短い", "ja"), (101, "A.", "en"), (102, "Hi", None), (103, "文章", None), (104, "żółć", None), (105, "1 2 !", "en"), (106, None, "en"), (107, "日本語の文章", None)]
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    told = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, langid.learn(docs)).collect()}
+    assert {i: told[i][0] for i in range(100, 108)} == {100: "ja", 101: "en", 102: "en", 103: "ja", 104: "en", 105: "und", 106: "und", 107: "ja"}
+    assert told[104][1] == 0 and told[101][1] > 0
+    assert {i for i, *_ in rows} - {r["doc_id"] for r in P.language_id(spark, docs, sf_dir).collect()} == {105, 106}
+    bare = P.language_id(spark, docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars"), sf_dir).collect()
+    assert len(bare) == len(rows) - 2 and {r["lang"] for r in bare} == {None}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, sf_dir, name):
     import duckdb

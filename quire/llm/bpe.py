@@ -1,12 +1,19 @@
 """BPE encoding and decoding by tree concatenation.
 
-Text is cut where every tokenizer run must cut (beside white space). What stays together is looked up by chunk, then by
-pretoken. An unsplit pretoken longer than LEAF symbols is encoded by halves; at each join a window around it, twice as
-wide each time, is encoded again until its first and last tokens agree with both sides. Adjacent tokens that encode to
-themselves as a pair make a valid whole, so agreement on both sides proves the joined ids equal a run over the whole.
+A text is halved, wherever that falls, down to leaves of at most STRETCH characters, and all leaves of many texts are
+encoded side by side as if each were a whole text. At every join a window of pretokens around it, twice as wide each
+time, is encoded again until its first and last pretokens are those that both sides have there. A pretoken depends on
+what follows its start only, and but for the last one of a leaf none reaches the leaf's end; so agreement on both sides
+proves that the joined ids are those of a run over the whole. Where the join stands beside white space no pretoken can
+cross it and both sides agree at once. `Bpe.joins` counts joins of each kind.
 
-Texts longer than PIECE characters are dealt out: their pieces, and the halves of pretokens of more than PIECE
-characters, are encoded as rows of their own in parallel tasks and joined by document.
+The same is done inside an unsplit pretoken of more than LEAF symbols: halves are encoded, then windows of tokens around
+the join, until both sides agree. A leaf's pretokens of up to 60 characters are encoded by the tokenizers library's
+model, each distinct one once; looked up by hash, they are compared by their characters.
+
+Texts longer than PIECE characters are dealt out: their pieces, cut beside white space, and the halves of pretokens of
+more than PIECE characters, are encoded as rows of their own in parallel tasks and joined by document. Texts with
+special tokens, combining marks or scripts outside the class table are cut at white space only.
 
 Defined cases: a null text encodes as the empty text (no ids); a null or repeated doc_id keeps its row (rows are
 told apart by their own key, not by doc_id); only the id and text columns are read, others may have any name.
@@ -20,7 +27,7 @@ import heapq
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +35,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import _power_tables, mix64, slices, strings, table
+from quire.llm.common import arrow, grouped, mix64, polynomial, slices, strings, table
 
 LEAF = 256  # symbols of an unsplit pretoken that are merged in one run
+STRETCH = 1024  # characters of a leaf of a text
 PIECE = 1 << 16  # characters of a text that one task encodes at once
-CACHE = 300_000  # entries of each chunk table in a worker
+CACHE = 100_000  # entries of each chunk table in a worker
 
 
 def _byte_letters() -> dict[int, str]:
@@ -101,8 +109,10 @@ class Bpe:
         self._lib = Tokenizer.from_file(path)
         self._model = self._lib.model
         quotes = r"'s|'t|'re|'ve|'m|'ll|'d"
-        self._pretokens = regex.compile(quotes + (r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" if self.words else r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")).findall
+        pattern = regex.compile(quotes + (r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" if self.words else r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"))
+        self._pretokens, self._matches = pattern.findall, pattern.finditer
         self.most = 4 * CACHE
+        self.joins = {"beside white space": 0, "by a window": 0, "by wider windows": 0, "of long pretokens": 0}
         self._forget()
         self._spaced = None
         self._pre = _Table(self._pretoken)
@@ -250,22 +260,28 @@ class Bpe:
 
     # -- many texts at once ------------------------------------------------------------------------------------
 
-    def encode_many(self, column) -> tuple[np.ndarray, np.ndarray]:
+    def encode_many(self, column, leaf: int | None = STRETCH) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows of a string column one after another, and each row's offsets.
 
         Pretoken bounds come from a table of character classes over whole buffers; each distinct pretoken is encoded
         once and kept in a bounded table. Texts with special tokens, combining marks or scripts outside the class
-        table take encode() instead."""
+        table take encode() instead; without `leaf` texts are not halved. A row of more than 4 MB goes by pieces."""
         data, offs, _ = strings(column)
         found, sizes = [], []
         for _, _, part, po in slices(data, offs, 2 << 20):
-            ids, n = self._encode_slice(part, po)
+            if len(po) == 2 and len(part) > 4 << 20:
+                parts = self.pieces(part.tobytes().decode(), 1 << 20)
+                whole = self.joined_pieces((c, f, z, self.piece(f, z, x) if c else self.encode_many(pa.array([x]), leaf)[0].tobytes()) for c, f, z, x in parts)
+                ids = np.frombuffer(whole, np.uint32)
+                n = np.array([len(ids)])
+            else:
+                ids, n = self._encode_slice(part, po, leaf)
             found.append(ids)
             sizes.append(n)
         ids = np.concatenate(found) if found else np.empty(0, np.uint32)
         return ids, np.concatenate(([0], np.cumsum(np.concatenate(sizes) if sizes else []))).astype(np.int64)
 
-    def _encode_slice(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_slice(self, data: np.ndarray, offs: np.ndarray, leaf: int | None) -> tuple[np.ndarray, np.ndarray]:
         n = len(offs) - 1
         cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         at = offs if len(cp) == len(data) else np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offs]
@@ -276,78 +292,164 @@ class Bpe:
         slow = np.unique(np.searchsorted(at, odd, "right") - 1)
         if self.lower:
             cp = low[np.minimum(cp, 0xFFFF)]
+        edges, cuts = _leaves(at, leaf)
+        start = self._starts(cp, c, edges)
+        starts = np.flatnonzero(start)
+        counts = np.zeros(n, np.int64)
+        ids = np.empty(0, np.uint32)
+        if len(starts):
+            space = c == SPACES
+            if self.words:
+                size = np.add.reduceat((~space).astype(np.int32), starts)
+            else:
+                size = np.diff(np.append(starts, len(cp)))
+            keys = mix64(polynomial(cp, starts, space if self.words else None, 1) + size.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+            u, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
+            text = _Lazy(cp)
+            spot, other = self._known(u, starts[where], size[where], cp, text)
+            row = np.searchsorted(at, starts, "right") - 1
+            new = {int(i): (int(i) + 1, self._pre[text.cut(starts[i], size[i])]) for i in np.flatnonzero(_differ(cp, starts, size, where[inverse]) | other[inverse])}
+            if len(cuts):
+                cuts = cuts[~np.isin(np.searchsorted(at, cuts, "right") - 1, slow)]
+                self._join(cuts, c, at, row, starts, size, text, new)
+            spot = spot[inverse]
+            length, source = self._len[spot], self._at[spot]
+            made = np.zeros(len(starts), bool)
+            parts = []
+            for i in sorted(new):
+                j, blob = new[i]
+                length[i:j] = 0
+                length[i], made[i] = len(blob) // 4, True
+                parts.append(blob)
+            ends_at = np.cumsum(length)
+            index = np.repeat(source - (ends_at - length), length) + np.arange(ends_at[-1])
+            if parts:
+                fresh = np.repeat(made, length)
+                index[fresh] = 0
+                ids = self._flat[index]
+                ids[fresh] = np.frombuffer(b"".join(parts), np.uint32)
+            else:
+                ids = self._flat[index]
+            counts = np.bincount(row, length, n).astype(np.int64)
+        if len(slow):
+            raw, bounds = data.tobytes(), np.concatenate(([0], np.cumsum(counts)))
+            whole = [ids[bounds[i] : bounds[i + 1]] for i in range(n)]
+            for i in slow:
+                whole[i] = np.frombuffer(self.encode(raw[offs[i] : offs[i + 1]].decode()), np.uint32)
+                counts[i] = len(whole[i])
+            ids = np.concatenate(whole)
+        return ids, counts
+
+    def _starts(self, cp: np.ndarray, c: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where pretokens start, each leaf being a text of its own."""
         first = np.zeros(len(cp) + 1, bool)
-        first[at] = True
+        first[edges] = True
         first = first[:-1]
         space = c == SPACES
         prev = np.empty_like(c)
         prev[1:], prev[:1] = c[:-1], ODD
         start = first | (c != prev)
-        quote = cp == 39
         if self.words:
             start |= c == NUMBER
         else:
             nxt = np.empty_like(c)
             nxt[:-1], nxt[-1:] = c[1:], SPACES
             ends = np.zeros(len(cp), bool)
-            ends[at[1:][at[1:] > 0] - 1] = True
+            ends[edges[edges > 0] - 1] = True
+            ends[-1:] = True
             last = space & (nxt != SPACES) & ~ends
             start |= last
             held = np.zeros(len(cp), bool)
             held[1:] = last[:-1] & (cp[:-1] == 32)
             start &= ~held
-        for q in np.flatnonzero(quote & start & ~space):  # contractions
-            stop = at[np.searchsorted(at, q, "right")]
+        stops = np.append(edges, len(cp))
+        for q in np.flatnonzero((cp == 39) & start & ~space):  # contractions
+            stop = stops[np.searchsorted(stops, q, "right")]
             w = cp[q + 1 : min(q + 3, stop)].tolist()
             size = 2 if w and w[0] in (115, 116, 109, 100) else 3 if w in ([114, 101], [118, 101], [108, 108]) else 0
             if size:
                 start[q + 1 : q + size] = False
                 if q + size < stop:
                     start[q + size] = True
-        if self.words:
-            start &= ~space
-        starts = np.flatnonzero(start)
-        counts = np.zeros(n, np.int64)
-        ids = np.empty(0, np.uint32)
-        if len(starts):
-            up, down = _power_tables(len(cp) + 1)
-            weighted = (cp + np.uint32(1)).astype(np.uint64) * up[: len(cp)]
-            stops = np.append(starts[1:], len(cp))
-            if self.words:
-                weighted[space] = 0
-                size = np.add.reduceat((~space).astype(np.int32), starts)
-            else:
-                size = stops - starts
-            keys = mix64(np.add.reduceat(weighted, starts) * down[starts] + size.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
-            u, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            spot = self._known(u, starts[where], size[where], cp)
-            spot = spot[inverse]
-            length = self._len[spot]
-            ends_at = np.cumsum(length)
-            ids = self._flat[np.repeat(self._at[spot] - (ends_at - length), length) + np.arange(ends_at[-1])]
-            row = np.searchsorted(at, starts, "right") - 1
-            counts = np.bincount(row, length, n).astype(np.int64)
-        if len(slow):
-            text, bounds = data.tobytes(), np.concatenate(([0], np.cumsum(counts)))
-            whole = [ids[bounds[i] : bounds[i + 1]] for i in range(n)]
-            for i in slow:
-                whole[i] = np.frombuffer(self.encode(text[offs[i] : offs[i + 1]].decode()), np.uint32)
-                counts[i] = len(whole[i])
-            ids = np.concatenate(whole)
-        return ids, counts
+        return start & ~space if self.words else start
+
+    def _join(self, cuts, c, at, row, starts, size, text, new: dict) -> None:
+        """Join leaves at the cuts: `new` gets, by a window's first pretoken, the one after its last and its ids."""
+        before, after = c[cuts - 1] == SPACES, c[cuts] == SPACES
+        apart = before | after if self.words else after & ~before
+        self.joins["beside white space"] += int(apart.sum())
+        cuts = cuts[~apart]
+        rows = np.searchsorted(at, cuts, "right") - 1
+        first, stop = np.searchsorted(row, rows), np.searchsorted(row, rows, "right")
+        taken, hard = 0, set()
+        for q, r, r0, r1 in zip(np.searchsorted(starts, cuts).tolist(), rows.tolist(), first.tolist(), stop.tolist()):
+            if r in hard:
+                continue
+            k = 1
+            while True:
+                a, b = max(q - k, r0), min(q + k, r1)
+                if a < taken:
+                    hard.add(r)
+                    break
+                begin = int(starts[a])
+                piece = text.cut(begin, int(starts[b - 1] + size[b - 1]) - begin) if b > a else ""
+                spans = [m.span() for m in self._matches(piece)]
+                if (a == r0 or spans[0][1] == size[a]) and (b == r1 or spans[-1][0] == starts[b - 1] - begin):
+                    pre = self._pre
+                    new[a] = (b, b"".join([pre[piece[x:y]] for x, y in spans]))
+                    taken = b
+                    self.joins["by a window" if k == 1 else "by wider windows"] += 1
+                    break
+                k *= 2
+        for r in hard:  # windows that meet: pretokens as long as leaves
+            r0, r1 = (int(np.searchsorted(row, r, side)) for side in ("left", "right"))
+            for i in [i for i in new if r0 <= i < r1]:
+                del new[i]
+            new[r0] = (r1, self._halves(text.cut(at[r], at[r + 1] - at[r])))
+
+    def _halves(self, text: str) -> bytes:
+        """The ids of a normalised text by halves, whatever the length of its pretokens."""
+
+        def node(begin: int, end: int) -> list[tuple[int, int]]:
+            if end - begin <= STRETCH:
+                return [(begin + m.start(), begin + m.end()) for m in self._matches(text[begin:end])]
+            half = (begin + end) // 2
+            left, right = node(begin, half), node(half, end)
+            k = 1
+            while left and right:
+                a, b = max(0, len(left) - k), min(k, len(right))
+                base = left[a][0]
+                window = [(base + m.start(), base + m.end()) for m in self._matches(text[base : right[b - 1][1]])]
+                if (a == 0 or window[0] == left[a]) and (b == len(right) or window[-1][0] == right[b - 1][0]):
+                    self.joins["of long pretokens"] += 1
+                    return left[:a] + window + right[b:]
+                k *= 2
+            return left + right
+
+        return b"".join([self._pre[text[a:b]] for a, b in node(0, len(text))])
 
-    def _known(self, keys: np.ndarray, starts: np.ndarray, size: np.ndarray, cp: np.ndarray) -> np.ndarray:
-        """Places in the table of distinct pretokens (sorted keys); new ones are encoded and added."""
+    def _known(self, keys: np.ndarray, starts: np.ndarray, size: np.ndarray, cp: np.ndarray, text: _Lazy) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the table of distinct pretokens (sorted keys), new ones being encoded and added; and which of them
+        hold other characters under the same key."""
         if len(self._keys) > self.most:
             self._forget()
         spot = np.searchsorted(self._keys, keys)
-        new = np.flatnonzero(self._keys[np.minimum(spot, len(self._keys) - 1)] != keys)
+        held = self._keys[np.minimum(spot, len(self._keys) - 1)] == keys
+        other = np.zeros(len(keys), bool)
+        old, new = np.flatnonzero(held), np.flatnonzero(~held)
+        if len(old):
+            place, n = spot[old], size[old].astype(np.int64)
+            other[old] = self._size[place] != n
+            old, place, n = old[~other[old]], place[~other[old]], n[~other[old]]
+            first = np.cumsum(n) - n
+            steps = np.arange(int(n.sum()))
+            same = self._letters[np.repeat(self._from[place] - first, n) + steps] == cp[np.repeat(starts[old] - first, n) + steps]
+            other[old] = ~np.logical_and.reduceat(same, first) if len(first) else False
         if len(new):
-            text = cp.tobytes().decode("utf-32-le", "surrogatepass")
             tokenize, end = self._model.tokenize, self._used
             made = []
             for a, k in zip(starts[new].tolist(), size[new].tolist()):
-                p = text[a : a + k]
+                p = text.cut(a, k)
                 if k > 60:
                     made.append(array("I", self._pretoken(p)))
                 else:
@@ -355,20 +457,26 @@ class Bpe:
                     made.append([t.id for t in tokenize(p)])
             length = np.fromiter(map(len, made), np.int64, len(made))
             flat = np.fromiter((i for m in made for i in m), np.uint32, int(length.sum()))
-            while end + len(flat) > len(self._flat):
-                self._flat = np.concatenate((self._flat, np.empty_like(self._flat)))
-            self._flat[end : end + len(flat)] = flat
-            self._used += len(flat)
+            n = size[new].astype(np.int64)
+            first = np.cumsum(n) - n
+            letters = cp[np.repeat(starts[new] - first, n) + np.arange(int(n.sum()))]
+            self._flat = _room(self._flat, end, flat)
+            self._letters = _room(self._letters, self._held, letters)
             self._keys = np.insert(self._keys, spot[new], keys[new])
             self._at = np.insert(self._at, spot[new], end + np.cumsum(length) - length)
             self._len = np.insert(self._len, spot[new], length)
+            self._size = np.insert(self._size, spot[new], n)
+            self._from = np.insert(self._from, spot[new], self._held + first)
+            self._used += len(flat)
+            self._held += len(letters)
             spot = np.searchsorted(self._keys, keys)
-        return spot
+        return spot, other
 
     def _forget(self) -> None:
         self._keys = np.array([np.iinfo(np.uint64).max], np.uint64)
-        self._at, self._len = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self._at, self._len, self._size, self._from = np.zeros((4, 1), np.int64)
         self._flat, self._used = np.empty(1 << 16, np.uint32), 0
+        self._letters, self._held = np.empty(1 << 16, np.uint32), 0
 
     def decode_many(self, ids: np.ndarray, offs: np.ndarray) -> list[bytes]:
         """Each row's decoded text."""
@@ -393,9 +501,14 @@ class Bpe:
 
     def pieces(self, text: str, most: int = PIECE) -> Iterator[tuple[bool, bool, bool, str]]:
         """(cut, first, last, text): stretches of text, or if `cut` byte-level letters of a part of a pretoken."""
-        if self._added.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            yield False, True, True, text
-            return
+        done = 0
+        for m in self._added.finditer(text):
+            yield from self._cut(text[done : m.start()], most)
+            yield False, True, True, m[0]
+            done = m.end()
+        yield from self._cut(text[done:], most)
+
+    def _cut(self, text: str, most: int) -> Iterator[tuple[bool, bool, bool, str]]:
         at = 0
         while at < len(text):
             end = len(text)
@@ -417,7 +530,7 @@ class Bpe:
     def piece(self, first: bool, last: bool, text: str) -> bytes:
         return np.array(self.tree(self.symbols(text, last)), "<u4").tobytes()
 
-    def joined_pieces(self, pieces: list[tuple[bool, bool, bool, bytes]]) -> bytes:
+    def joined_pieces(self, pieces: Iterable[tuple[bool, bool, bool, bytes]]) -> bytes:
         """Pieces in order, (cut, first, last, ids): halves of one pretoken are joined pairwise up the tree."""
         out, run = [], []
         for cut, _, last, ids in pieces:
@@ -436,18 +549,65 @@ class Bpe:
 _CUT = regex.compile(r"(?<=\S)(?=[ \n])")
 
 
+class _Lazy:
+    """A buffer's text, decoded when it is first cut."""
+
+    def __init__(self, cp: np.ndarray):
+        self.cp, self.text = cp, None
+
+    def cut(self, start: int, size: int) -> str:
+        if self.text is None:
+            self.text = self.cp.tobytes().decode("utf-32-le", "surrogatepass")
+        return self.text[start : start + size]
+
+
+def _leaves(at: np.ndarray, leaf: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all leaves of rows that start at `at`, and of those that begin no row: rows are halved until no part
+    holds more than `leaf`."""
+    if leaf is None:
+        return at[:-1], np.empty(0, np.int64)
+    size = np.diff(at)
+    parts = 1 << np.ceil(np.log2(np.maximum(size / leaf, 1))).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), parts)
+    i = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    edges = at[row] + i * size[row] // parts[row]
+    return edges, edges[i > 0]
+
+
+def _differ(cp: np.ndarray, starts: np.ndarray, size: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Which spans do not hold the characters of the span that they are taken for."""
+    out = size[like] != size
+    n = np.where(out, 0, size).astype(np.int32)
+    first = np.cumsum(n, dtype=np.int32) - n
+    at = np.repeat(starts.astype(np.int32) - first, n)
+    at += np.arange(len(at), dtype=np.int32)
+    unlike = cp.take(at) != cp.take(at + np.repeat((starts[like] - starts).astype(np.int32), n))
+    if unlike.any():
+        out[np.repeat(np.arange(len(n)), n)[unlike]] = True
+    return out
+
+
+def _room(flat: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """`flat` with `more` put in from `used` on, in twice the room when it is full."""
+    while used + len(more) > len(flat):
+        flat = np.concatenate((flat, np.empty_like(flat)))
+    flat[used : used + len(more)] = more
+    return flat
+
+
 @functools.lru_cache(4)
 def load(path: str) -> Bpe:
     """One table per worker process and file."""
     return Bpe(path)
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", then=None, schema: str = "ids binary", piece: int | None = PIECE) -> DataFrame:
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", then=None, schema: str = "ids binary", piece: int | None = PIECE, leaf: int | None = None) -> DataFrame:
     """Encode every whole text: the id column and `ids` (little-endian unsigned 32-bit).
 
     `then(bpe, rows)` may make other columns of each partition's rows: from an iterator of (id values, all ids, each
     row's offsets) it yields lists of columns, the id first, as `schema` says. Texts of more than `piece` characters
-    are encoded in pieces by other tasks and joined by document; with None all rows stay in place and order."""
+    are encoded in pieces by other tasks and joined by document; with None all rows stay in place and order. With `leaf`
+    texts are halved down to that many characters and joined (the dealt method); without, each text is one leaf."""
     then = then or _ids
     kind = df.schema[id_col].dataType.simpleString()
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -462,7 +622,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def in_place(batches):
         bpe = load(path)
         cut = (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024))
-        yield from made(bpe, ((b["id"].to_pylist(), *bpe.encode_many(b["text"])) for b in cut))
+        yield from made(bpe, ((b["id"].to_pylist(), *bpe.encode_many(b["text"], leaf)) for b in cut))
 
     def cut_rows(batches):
         bpe = load(path)
@@ -476,7 +636,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         bpe = load(path)
         fields = pa_schema(part_schema + ", ids binary")
         for b in batches:
-            ids = [bpe.piece(f, z, t) if c else bpe.encode_many(pa.array([t]))[0].tobytes() for c, f, z, t in zip(*(b[n].to_pylist() for n in ("cut", "first", "last", "text")))]
+            ids = [bpe.piece(f, z, t) if c else bpe.encode_many(pa.array([t]), leaf)[0].tobytes() for c, f, z, t in zip(*(b[n].to_pylist() for n in ("cut", "first", "last", "text")))]
             yield pa.RecordBatch.from_arrays([*(b[n] for n in fields.names[:-1]), pa.array(ids, pa.binary())], schema=fields)
 
     def joined(t: pa.Table) -> pa.Table:
@@ -488,12 +648,12 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         yield from made(load(path), ((b["id"].to_pylist(), *_flat(b["ids"])) for b in batches))
 
     if piece is None:
-        return base.mapInArrow(in_place, out_schema).withColumnRenamed("id", id_col)
-    plain = base.where(F.length("text") <= piece).mapInArrow(in_place, out_schema)
+        return arrow(base, in_place, out_schema).withColumnRenamed("id", id_col)
+    plain = arrow(base.where(F.length("text") <= piece), in_place, out_schema)
     long = base.where(F.length("text") > piece).withColumn("key", F.monotonically_increasing_id())
-    parts = long.mapInArrow(cut_rows, part_schema + ", text string")
-    dealt = parts.repartition(F.col("key"), F.col("seq")).mapInArrow(encode_pieces, part_schema + ", ids binary")
-    whole = dealt.groupBy("key").applyInArrow(joined, f"id {kind}, ids binary").mapInArrow(after, out_schema)
+    parts = arrow(long, cut_rows, part_schema + ", text string")
+    dealt = arrow(parts.repartition(F.col("key"), F.col("seq")), encode_pieces, part_schema + ", ids binary")
+    whole = arrow(grouped(dealt, ["key"], joined, f"id {kind}, ids binary"), after, out_schema)
     return plain.unionByName(whole).withColumnRenamed("id", id_col)
 
 
@@ -522,4 +682,4 @@ def op1_bpe(spark, sf_dir: str) -> DataFrame:
             sha = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(offs[:-1], offs[1:])]
             yield own, np.diff(offs), sha, [hashlib.sha256(t).hexdigest() for t in bpe.decode_many(ids, offs)]
 
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), then=digests, schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), then=digests, schema="n_tokens long, ids_sha256 string, decoded_sha256 string", leaf=STRETCH)

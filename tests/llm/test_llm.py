@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from quire.llm import bpe, langid, linededup, lm, neardup, packing, quality, queries, rangecoder, secrets, topk
-from quire.llm.trie import Trie
+from quire.llm.trie import EliasFano, Trie
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, value string, rank int"
 LONG = " ".join(f"word{i % 700} the of and" for i in range(30_000))
@@ -250,49 +250,127 @@ def test_top_k(spark, sf_dir):
     assert topk.top_k(df.where("false"), df, 3).count() == 0
 
 
-def test_trie():
+def test_trie(tmp_path):
     rng = np.random.default_rng(3)
-    for n in (0, 1, 7, 5000):
-        pairs = np.unique(np.stack([rng.integers(0, n // 4 + 1, n) ** 2, rng.integers(0, 10**6, n)]), axis=1)
-        logs = -rng.random(pairs.shape[1]) * 8
-        t = Trie.build(pairs[0], pairs[1], logs)
-        held, value = t.find(pairs[0], pairs[1])
-        assert held.all() and (np.abs(value - logs) < 0.02).all()
-        other = rng.integers(0, 10**6, pairs.shape[1])
-        known = set(zip(*pairs.tolist()))
-        for k in (slice(None), slice(0, 20)):  # many at once, and few
-            assert t.find(pairs[0][k], other[k])[0].tolist() == [p in known for p in zip(pairs[0][k].tolist(), other[k].tolist())]
-
-
-def test_lm(spark, docs, sf_dir, awkward, empty, tmp_path):
+    stats = {"N": 10**5, "V": 10**4}
+    for n in (0, 1, 7, 20_000):
+        v, u, w = rng.integers(0, n // 9 + 1, n) ** 3, rng.integers(0, 9, n) ** 5, rng.integers(0, 30, n) ** 4
+        grams = np.unique(np.stack([v, u, w]), axis=1)
+        v, u, w = grams
+        joint, alone = rng.integers(1, 5, len(v)), rng.random(len(v)) / 1000 + 1e-6
+        alone = alone[np.unique(w, return_index=True)[1][np.unique(w, return_inverse=True)[1]]] if n else alone
+        trie = lm.build(v, u, w, joint, alone, stats)
+        trie.save(str(tmp_path / "t"))
+        trie = Trie.open(str(tmp_path / "t"))
+        known, p1 = collections.Counter(), dict(zip(w.tolist(), alone.tolist()))
+        for a, b, c, k in zip(v.tolist(), u.tolist(), w.tolist(), joint.tolist()):
+            for key in ((a,), (a, "w", c), (b, a, "h"), (b, a, c)):
+                known[key] += k
+        asked = np.unique(np.concatenate((grams, np.stack([rng.permutation(v), rng.permutation(u), rng.permutation(w)])), axis=1), axis=1)
+        unknown = np.array([math.log10(p1[x]) for x in asked[2].tolist()])
+        got = trie.score(asked[0], asked[1], asked[2], unknown)
+        for (a, b, c), told in zip(asked.T.tolist(), got):
+            g1 = lm.backoff(np.array([known[a,]]), stats)[0]
+            p2 = ((1 - g1) * known[a, "w", c] / known[a,] if known[a,] else 0) + g1 * p1[c]
+            g2 = lm.backoff(np.array([known[b, a, "h"]]), stats, lm.BACK_3)[0]
+            p3 = ((1 - g2) * known[b, a, c] / known[b, a, "h"] if known[b, a, "h"] else 0) + g2 * p2
+            assert abs(told - math.log10(p3)) < 0.06
+
+
+def test_elias_fano_successors():
+    rng = np.random.default_rng(8)
+    for n, top in ((0, 1), (1, 10), (500, 600), (5000, 10**12), (70_000, 10**6)):
+        values = np.sort(rng.integers(0, top, n))
+        e = EliasFano(*EliasFano.parts(values))
+        assert (e[np.arange(n)] == values).all()
+        target = np.concatenate((values[::7], rng.integers(0, top + 5, 300)))
+        lo = rng.integers(0, n + 1, len(target))
+        hi = np.minimum(n, lo + rng.integers(0, n + 1, len(target)))
+        at, hit = e.search(target, lo, hi)
+        want = np.clip(np.searchsorted(values, target), lo, hi)
+        assert (at == want).all() and (hit == ((want < hi) & (np.append(values, -1)[want] == target))).all()
+
+
+def plain_scores(tokens, learnt, stats=None):
+    """Token lists by id, and the ids that are learnt from: each text's (n_known, base, order 2, order 3)."""
+    one, pair, triple, c1, c2 = (collections.Counter() for _ in range(5))
+    for i in learnt:
+        w = tokens[i]
+        one.update(w)
+        for u, v, x in zip(["<s>", "<s>", *w], ["<s>", *w], w):
+            pair[v, x] += 1
+            triple[u, v, x] += 1
+            c1[v] += 1
+            c2[u, v] += 1
+    stats = {"N": sum(one.values()), "V": len(one)}
+    out = {}
+    for i, w in tokens.items():
+        base = sum(math.log10((one[x] + 0.1) / (stats["N"] + 0.1 * (stats["V"] + 1))) for x in w)
+        two = three = 0.0
+        h = list(zip(["<s>", "<s>", *w], ["<s>", *w], w))
+        p1 = lm.unigram(np.array([one[x] for x in w]), stats)
+        g1 = lm.backoff(np.array([c1[v] for _, v, _ in h]), stats)
+        g2 = lm.backoff(np.array([c2[u, v] for u, v, _ in h]), stats, lm.BACK_3)
+        for (u, v, x), p, a, b in zip(h, p1, g1, g2):
+            q = (1 - a) * pair[v, x] / max(1, c1[v]) + a * p
+            two += math.log10(q)
+            three += math.log10((1 - b) * triple[u, v, x] / max(1, c2[u, v]) + b * q)
+        out[i] = (sum(one[x] > 0 for x in w), base, two, three)
+    return out, stats
+
+
+def test_lm(spark, docs, sf_dir, awkward, empty):
+    from pyspark.sql import functions as F
+
     rows = {r["doc_id"]: r for r in lm.op9_lm(spark, sf_dir).collect()}
     tokens = {d["doc_id"]: [*d["text"].encode().lower().split(), None] for d in docs}
     learnt = {i for i in tokens if zlib.crc32(str(i).encode()) % 10}
-    c, pair = collections.Counter(), collections.Counter()
-    for i in learnt:
-        c.update(tokens[i])
-        pair.update(zip(["<s>", *tokens[i]], tokens[i]))
-    stats = {"N": sum(c.values()), "V": len(c)}
-    count = {**c, "<s>": len(learnt)}
+    want, stats = plain_scores(tokens, learnt)
     for i, w in tokens.items():
-        r = rows[i]
-        base = sum(math.log10((c[x] + 0.1) / (stats["N"] + 0.1 * (stats["V"] + 1))) for x in w)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(c[x] > 0 for x in w), stats["N"], i not in learnt)
+        r, (known, base, _, three) = rows[i], want[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), known, stats["N"], i not in learnt)
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
-        h = np.array([count.get(x, 0) for x in ["<s>", *w[:-1]]])
-        g, p = lm.backoff(h, stats), lm.unigram(np.array([c[x] for x in w]), stats)
-        joint = np.array([pair[x] for x in zip(["<s>", *w[:-1]], w)])
-        want = np.log10(np.where(joint > 0, (1 - g) * joint / np.maximum(h, 1) + g * p, g * p)).sum()
-        assert r["score"] == pytest.approx(want, abs=0.02 * len(w))
-    held = [r for i, r in rows.items() if i not in learnt]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    from pyspark.sql import functions as F
+        assert r["score"] == pytest.approx(three, abs=0.012 * len(w) + 0.1)
+    held = [i for i in rows if i not in learnt]
+    assert sum(rows[i]["score"] for i in held) > sum(want[i][2] for i in held) > sum(want[i][1] for i in held)
 
     assert lm.score(awkward, F.col("doc_id") > 3).count() == 11
     assert lm.score(awkward, F.lit(False)).where("score <> 0").count() == 0
     assert lm.score(empty, F.lit(True)).count() == 0
 
 
+def test_lm_in_small_parts(spark, docs, monkeypatch):
+    """Texts over several batches, many shards, merged parts: the same sums. Split contexts: still a model."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs[:60]], "doc_id long, text string").repartition(3)
+    whole = {r["doc_id"]: r for r in lm.score(df, F.col("doc_id") % 5 > 0).collect()}
+    parts = {r["doc_id"]: r for r in lm.score(df, F.col("doc_id") % 5 > 0, grams=500, split=1 << 40, batch=20_000, tokens=300).collect()}
+    for i, r in whole.items():
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (parts[i]["n_tokens"], parts[i]["n_known"], parts[i]["train_tokens"])
+        assert r["base_score"] == pytest.approx(parts[i]["base_score"], rel=1e-9) and r["score"] == pytest.approx(parts[i]["score"], abs=0.02 * r["n_tokens"] + 0.1)
+    monkeypatch.setattr(lm, "FAN", 4)
+    merged = {r["doc_id"]: r["score"] for r in lm.score(df, F.col("doc_id") % 5 > 0, grams=500, split=1 << 40, batch=20_000, tokens=300).collect()}
+    assert all(merged[i] == pytest.approx(whole[i]["score"], abs=0.02 * whole[i]["n_tokens"] + 0.1) for i in whole)
+    split = {r["doc_id"]: r for r in lm.score(df, F.col("doc_id") % 5 > 0, grams=500, split=40, batch=20_000).collect()}
+    assert all(split[i]["base_score"] == pytest.approx(whole[i]["base_score"], rel=1e-9) and split[i]["score"] < 0 for i in whole)
+    held = [i for i in whole if i % 5 == 0]
+    assert sum(split[i]["score"] for i in held) > sum(whole[i]["base_score"] for i in held)
+
+
+def test_lm_parts_round_trip():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 400):
+        context = rng.integers(0, 9, n) << lm.CELL | rng.integers(0, 2, n)
+        word, before = rng.integers(0, 5, n), rng.integers(0, 2**33, n)
+        order = np.lexsort((before, word, context))
+        entries = rng.integers(1, 4, n)
+        count = word * 7
+        columns = [context[order], word[order], count[order], before[order], rng.integers(0, 3, n), entries, rng.integers(0, 2, int(entries.sum())), rng.integers(0, 70_000, int(entries.sum()))]
+        names, *back = lm.unpack_grams(lm.pack_grams([5, 1 << 40], *columns))
+        assert names == [5, 1 << 40] and all((a == b).all() for a, b in zip(columns, back))
+
+
 def test_packing(spark, docs, sf_dir, awkward, empty):
     other = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = {d["doc_id"]: other.encode(d["text"], add_special_tokens=False).ids + [1] for d in docs}

@@ -1,7 +1,7 @@
 """Language identification by language-bitmask n-gram filters.
 
-An n-gram is ORDER code points of lower-cased text with runs of non-letters as one blank, and a blank at either end. For each language the n-grams
-of its training texts are counted; those that make up at least SHARE of the language's n-grams and are not MUCH rarer
+An n-gram is ORDER code points of lower-cased text with runs of non-letters as one blank, and a blank at either end. For
+each language the n-grams of its training texts are counted; those that make up at least SHARE of the language's n-grams and are not MUCH rarer
 there than in another language enter a bit-sliced Bloom filter: CELLS words of 64 bits, a bit for each language. The AND
 of an n-gram's HASHES cells is the set of all languages that hold it, from one probe. A text's popcount for a language
 is corrected for false positives, (hits - n f) / (1 - f) with f = filled share ^ HASHES; the largest decides.
@@ -11,9 +11,10 @@ A text none of whose n-grams is held is told by its letters in the same way, and
 language with the most texts, with score 0.
 
 Only texts with a non-null language are learnt from: of each language up to TEXTS, chosen by a hash of their id. The
-filter has a fixed size and goes to all tasks; languages beyond 64 would need a wider word and raise ValueError.
+filter is put together in tasks, cell by cell; it has a fixed size, which is all that the driver gets and all tasks
+receive. Languages beyond 64 would need a wider word and raise ValueError.
 
-Defined cases: null texts and texts without a letter are `und` with score 0; so are
+Defined cases: null texts and texts without a letter (of category L; marks alone are none) are `und` with score 0; so are
 all texts when no language could be learnt; ids may repeat or be null; other columns are not read.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import pa_schema
-from quire.llm.common import id_bucket, mix64, slices, strings, table
+from quire.llm.common import arrow, id_bucket, mix64, slices, strings, table
 
 ORDER = 3
 CELLS = 1 << 20
@@ -45,14 +46,15 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 @functools.lru_cache(1)
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """Lower case of each code point (0: not a letter), and whether it is a letter at all."""
-    low = np.zeros(sys.maxunicode + 1, np.uint32)
+    """Lower case of each letter or mark (0: neither), and whether a code point is a letter."""
+    low, letter = np.zeros(sys.maxunicode + 1, np.uint32), np.zeros(sys.maxunicode + 1, bool)
     for i in range(sys.maxunicode + 1):
         ch = chr(i)
-        if unicodedata.category(ch)[0] in "LM":
+        kind = unicodedata.category(ch)[0]
+        if kind in "LM":
             x = ch.lower()
-            low[i] = ord(x) if len(x) == 1 else i
-    return low, low > 0
+            low[i], letter[i] = ord(x) if len(x) == 1 else i, kind == "L"
+    return low, letter
 
 
 def grams(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,11 +63,11 @@ def grams(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> tuple[np.nd
     cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     at = offs if len(cp) == len(data) else np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offs]
     row = np.repeat(np.arange(n), np.diff(at))
+    letters = np.bincount(row[_letters()[1][cp]], minlength=n)
     low = np.zeros(len(cp) + 2 * n, np.uint32)  # a blank before and after each row
     low[np.arange(len(cp)) + 2 * row + 1] = _letters()[0][cp]
     at = at + 2 * np.arange(n + 1)
     row = np.repeat(np.arange(n), np.diff(at))
-    letters = np.bincount(row[low > 0], minlength=n)
     if order == 1:
         return mix64(low[low > 0].astype(np.uint64) + _STEP), row[low > 0], letters
     first = np.zeros(len(low), bool)
@@ -94,14 +96,6 @@ class Filters:
         filled = np.array([np.count_nonzero(words >> np.uint64(i) & np.uint64(1)) for i in range(len(languages))]) / CELLS
         self.false = filled**HASHES
 
-    @classmethod
-    def build(cls, languages: list[str], members: list[np.ndarray], usual: str = "und") -> Filters:
-        words = np.zeros(CELLS, np.uint64)
-        for i, x in enumerate(members):
-            for k in range(HASHES):
-                words[cells(x, k)] |= np.uint64(1 << i)
-        return cls(languages, words, usual)
-
     def masks(self, x: np.ndarray) -> np.ndarray:
         """The languages that hold each n-gram, as bits."""
         out = self.words[cells(x, 0)]
@@ -150,7 +144,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for b in batches:
             names = np.array([languages.index(x) for x in b["lang"].to_pylist()])
             data, offs, _ = strings(b["text"])
-            for i, j, part, po in slices(data, offs, 4 << 20):
+            for i, j, part, po in slices(data, offs):
                 for size in (ORDER, 1):
                     x, row, _ = grams(part, po, size)
                     lang = names[i:j][row]
@@ -165,18 +159,30 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     at = np.flatnonzero(new)
                     yield pa.RecordBatch.from_pydict({"size": np.full(len(at), size), "lang": lang[at], "gram": x[at].view(np.int64), "n": np.diff(np.append(at, len(x))), "texts": np.add.reduceat(text.astype(np.int64), at)})
 
-    counted = rows.where(place < share).mapInArrow(count, "size long, lang long, gram long, n long, texts long").groupBy("size", "lang", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    counted = arrow(rows.where(place < share), count, "size long, lang long, gram long, n long, texts long").groupBy("size", "lang", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
     totals = {r["lang"]: r["n"] for r in counted.where(F.col("size") == ORDER).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    members: list[np.ndarray] = [np.empty(0, np.uint64) for _ in languages]
+    words = np.zeros(CELLS, np.uint64)
     if totals:
         rate = F.col("n") / F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in totals.items()])
         few = [k for k, x in enumerate(languages) if sizes[x] < FEW]
         rated = counted.withColumn("rate", rate)
         by = rated.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "rate", "texts")).alias("of"))
         held = by.select("gram", "most", F.explode("of").alias("x")).where((F.col("x.rate") >= SHARE) & (F.col("x.rate") * MUCH >= F.col("most")) & (F.col("x.lang").isin(few) | (F.col("x.texts") >= LEAST)))
-        found = held.select(F.col("x.lang").alias("lang"), "gram").toPandas()  # at most languages / SHARE rows
-        members = [found["gram"].to_numpy(np.int64)[found["lang"].to_numpy() == k].view(np.uint64) for k in range(len(languages))]
-    return Filters.build(languages, members, min(languages, key=lambda x: (-sizes[x], x)) if languages else "und")
+        parts = arrow(held.select(F.col("x.lang").alias("lang"), "gram"), _filled, "cell long, bits long")
+        found = parts.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()  # at most CELLS rows
+        words[found["cell"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    return Filters(languages, words, min(languages, key=lambda x: (-sizes[x], x)) if languages else "und")
+
+
+def _filled(batches):
+    """The cells that n-grams fill, with the bits of their languages; combined for a whole partition."""
+    words = np.zeros(CELLS, np.uint64)
+    for b in batches:
+        bits = np.uint64(1) << b["lang"].to_numpy().astype(np.uint64)
+        for k in range(HASHES):
+            np.bitwise_or.at(words, cells(b["gram"].to_numpy().view(np.uint64), k), bits)
+    at = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], names=["cell", "bits"])
 
 
 def identify(df: DataFrame, filters: Filters, carry: dict | None = None, text_col: str = "text") -> DataFrame:
@@ -194,7 +200,7 @@ def identify(df: DataFrame, filters: Filters, carry: dict | None = None, text_co
             told, scores = own.predict(b["__text"])
             yield pa.RecordBatch.from_arrays([*(b[k].cast(fields.field(k).type) for k in names), pa.array(told, pa.string()), pa.array(scores)], schema=fields)
 
-    return base.mapInArrow(predict, schema + ", lang_pred string, score double")
+    return arrow(base, predict, schema + ", lang_pred string, score double")
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Near duplicates: SetSketch registers, banded; likelihood estimates; exact verification; connected components.
 
 1. Each text gives the set of its five-word shingles (64-bit hashes; with fewer words one shingle of all). Texts of
-   equal sets are one class, known by its size and two independent 64-bit sums of the set.
+   equal sets are one class, known by its size and two independent 64-bit sums of the set, whatever their doc_ids.
 2. A class has REGISTERS registers: floor(1 - log_b of the least exponential hash), truncated minima that merge by
    maximum. Bands of ROWS registers are hashed to buckets. At a similarity of 0.85 no bucket is shared with a
    probability of (1 - 0.85^5)^24 < 1e-6.
@@ -9,30 +9,33 @@
    whose likelihood (of the registers, given both sizes) peaks MARGIN or more below the threshold, about six deviations, go. The
    rest are verified on their full sets.
 4. Larger buckets whose classes are then not all of one component are settled exactly: classes outside the bucket's
-   most frequent component are compared with all classes of the buckets led by the same class, in blocks of bounded
-   size dealt over tasks. No pair is emitted but found links.
-5. Components of all links; a component is named by its smallest doc_id.
+   most frequent component are compared with all classes of the buckets led by the same class whose size allows a link,
+   in blocks of bounded bytes dealt over tasks. No pair is emitted but found links.
+5. Components of all links; a component is named by the smallest doc_id of its classes.
 
 Defined cases: null texts and texts without words have an empty set and are their own component; a null doc_id keeps
 its row, links with nothing and has a null component_id (kept is then true); rows that repeat a doc_id are taken row by
-row; other columns are not read.
+row, so each links by its own text and names its component by the shared doc_id; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import pa_schema
-from quire.llm.common import LOWER, mix64, separated, slices, stored, strings, table, word_hashes
+from quire.llm.common import LOWER, arrow, grouped, mix64, portions, separated, slices, stored, strings, table, word_hashes
 from quire.llm.graph import components
 
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 BASE = 1.001
 SMALL = 16
+BLOCK = 2 << 20  # bytes of text of each side of a block
 MARGIN = 0.2  # below the threshold; estimates lower than that cannot be links
 WORDS = 5
 
@@ -110,11 +113,13 @@ def likeliest(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
     return j[np.arange(len(j)), logs.argmax(1)]
 
 
+SIGNATURE = "doc_id long, mark long, n long, f1 long, f2 long, regs binary"
+
+
 def _signatures(batches):
-    fields = pa_schema("doc_id long, n long, f1 long, f2 long, keys binary, regs binary")
+    fields = pa_schema(SIGNATURE)
     for b in batches:
-        for k in range(0, b.num_rows, 2048):
-            part = b.slice(k, 2048)
+        for part in portions(b, "text", 1 << 20, 2048):
             flat, offs = shingles(part["text"])
             n = np.diff(offs)
             has = np.flatnonzero(n)
@@ -123,8 +128,20 @@ def _signatures(batches):
                 sums[0, has] = np.add.reduceat(flat, offs[has])
                 sums[1, has] = np.add.reduceat(mix64(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), offs[has])
             regs = registers(flat, offs)
-            keys = buckets(regs)
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([x.tobytes() for x in regs], pa.binary())], schema=fields)
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["mark"], pa.array(n), *(pa.array(s.view(np.int64)) for s in sums), pa.array([x.tobytes() for x in regs], pa.binary())], schema=fields)
+
+
+def _registers_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def _places(batches):
+    fields = pa_schema("key long, doc long")
+    for t in batches:
+        for k in range(0, t.num_rows, 4096):
+            part = t.slice(k, 4096)
+            keys = buckets(_registers_of(part["regs"]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part["doc"].to_numpy(), BANDS))], schema=fields)
 
 
 def _likely(percent: int):
@@ -135,7 +152,7 @@ def _likely(percent: int):
         for t in batches:
             for k in range(0, t.num_rows, 4096):
                 part = t.slice(k, 4096)
-                a, b = (np.frombuffer(b"".join(part[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
+                a, b = _registers_of(part["ra"]), _registers_of(part["rb"])
                 keep = pa.array(likeliest(a, b, part["na"].to_numpy(), part["nb"].to_numpy()) >= least)
                 yield pa.RecordBatch.from_arrays([part["a"].filter(keep), part["b"].filter(keep)], schema=fields)
 
@@ -195,16 +212,15 @@ def _block_links(percent: int):
     return links
 
 
-def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row: the id column, n_shingles, component_id, kept."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = stored(docs.mapInArrow(_signatures, "doc_id long, n long, f1 long, f2 long, keys binary, regs binary"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    sig = stored(arrow(docs, _signatures, SIGNATURE))
+    same = ["f1", "f2", "n"]
     real = sig.where("n > 0 and doc_id is not null")
-    classes = stored(real.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
-    reps = real.select("doc_id", "n", "keys", "regs", "f1", "f2").join(classes.select("f1", "f2", "n", F.col("rep")), ["f1", "f2", "n"]).where("doc_id = rep").select("rep", "n", "keys", "regs").dropDuplicates(["rep", "n"])
-    reps = stored(reps)
-    keys = F.array(*[F.conv(F.hex(F.substring("keys", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(BANDS)])
-    placed = reps.select(F.explode(keys).alias("key"), F.col("rep").alias("doc"))
+    one_of = real.groupBy(*same).agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.first("regs").alias("regs"))
+    classes = stored(one_of.select(F.monotonically_increasing_id().alias("doc"), *same, F.col("first.doc_id").alias("least"), F.col("first.mark").alias("mark"), "regs"))
+    placed = arrow(classes.select("doc", "regs"), _places, "key long, doc long")
     full = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("leader")).where("size > 1")
     members = stored(placed.join(full, "key"))
 
@@ -212,41 +228,53 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     left = small.select(F.posexplode("docs").alias("i", "b"), "docs").select("b", F.explode(F.slice("docs", F.col("i") + 2, SMALL)).alias("a"))
     star = members.where((F.col("size") > SMALL) & (F.col("doc") != F.col("leader"))).select(F.col("leader").alias("b"), F.col("doc").alias("a"))
     pairs = left.select("a", "b").unionByName(star.select("a", "b")).distinct()
-    one = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-    two = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
+    one = classes.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
+    two = classes.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
     near = pairs.join(one, "a").join(two, "b").where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
-    likely = stored(near.mapInArrow(_likely(percent), "a long, b long"))
+    likely = stored(arrow(near, _likely(percent), "a long, b long"))
 
     big = members.where(F.col("size") > SMALL).select("leader", "doc").distinct()
-    needed = likely.select("a").union(likely.select("b")).union(big.select("doc")).distinct().withColumnRenamed("a", "doc")
-    texts = stored(docs.join(needed, docs.doc_id == needed.doc, "left_semi"))
-    sides = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    first = stored(sides.mapInArrow(_verifier(percent), "a long, b long"))
+    needed = likely.select(F.col("a").alias("doc")).union(likely.select("b")).union(big.select("doc")).distinct()
+    wanted = classes.join(needed, "doc", "left_semi").select(F.col("least").alias("doc_id"), "mark", "doc", "n")
+    texts = stored(docs.join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("doc", "n", "text"))
+    sides = likely.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
+    first = stored(arrow(sides, _verifier(percent), "a long, b long"))
     label = components(first)
-
-    of = F.coalesce("component", "doc")
-    told = big.join(label, big.doc == label.node, "left").select("leader", "doc", of.alias("comp"))
-    counts = told.groupBy("leader", "comp").agg(F.count("*").alias("k"))
-    main = counts.groupBy("leader").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("total")).where("top.k < total")
-    open_ = stored(told.join(main.select("leader", F.col("top.comp").alias("main"), "total", (F.col("total") - F.col("top.k")).alias("out")), "leader"))
-    v_size = F.greatest(F.lit(128), F.least(F.lit(2048), F.expr("total div 16")))
-    u_size = F.greatest(F.lit(128), F.least(F.lit(1024), F.expr("`out` div 8")))
-    blocks = open_.withColumn("nv", F.ceil(F.col("total") / v_size)).withColumn("nu", F.ceil(F.col("out") / u_size))
-    mine = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
-    us = blocks.where("comp <> main").select("leader", "doc", "comp", F.lit(0).alias("side"), mine("nu").alias("ub"), F.explode(F.sequence(F.lit(0), F.col("nv") - 1)).alias("vb"))
-    vs = blocks.select("leader", "doc", "comp", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nu") - 1)).alias("ub"), mine("nv").alias("vb"))
-    dealt = us.unionByName(vs.select(us.columns)).join(texts.withColumnRenamed("doc_id", "doc"), "doc")
-    second = dealt.groupBy("leader", "ub", "vb").applyInArrow(_block_links(percent), "a long, b long")
+    second = _settled(big, label, texts, percent, block)
 
     link = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second.select("a", "b"))
     final = components(link)
-    named = classes.join(final, classes.rep == final.node, "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id"))
-    rows = sig.where("n > 0 and doc_id is not null").select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"]).select("doc_id", "n", "component_id")
+    held = classes.join(final, classes.doc == final.node, "left").select(*same, "least", F.coalesce("component", "doc").alias("component"))
+    names = held.groupBy("component").agg(F.min("least").alias("component_id"))
+    rows = real.select("doc_id", *same).join(held.join(names, "component").select(*same, "component_id"), same).select("doc_id", "n", "component_id")
     alone = sig.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = rows.unionByName(alone)
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _settled(big: DataFrame, label: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links of classes in large buckets that lie outside the most frequent component of the classes with their leader.
+
+    Sizes fall into bands so wide that linked classes are in the same band or in neighbouring ones; each band is cut
+    into blocks of about `block` bytes of text, and a block of outsiders meets each block of all classes."""
+    told = big.join(label, big.doc == label.node, "left").select("leader", "doc", F.coalesce("component", "doc").alias("comp"))
+    counts = told.groupBy("leader", "comp").agg(F.count("*").alias("k"))
+    main = counts.groupBy("leader").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("total")).where("top.k < total").select("leader", F.col("top.comp").alias("main"))
+    band = F.floor(F.ln("n") / F.lit(1.001 * math.log(100 / percent)))
+    sizes = texts.select("doc", band.alias("band"), F.octet_length("text").alias("bytes"))
+    open_ = stored(told.join(main, "leader").join(sizes, "doc"))
+    whole = open_.select("leader", "doc", "comp", "band", "bytes")
+    out = open_.where("comp <> main").select("leader", "doc", "comp", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), "bytes")
+    cells = whole.groupBy("leader", "band").agg(F.ceil(F.sum("bytes") / block).alias("nv"))
+    cells = cells.join(out.groupBy("leader", "band").agg(F.ceil(F.sum("bytes") / block).alias("nu")), ["leader", "band"])
+    mine = lambda n: F.pmod(F.xxhash64("doc"), F.greatest(F.col(n), F.lit(1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(n), F.lit(1)) - 1))
+    us = out.join(cells, ["leader", "band"]).select("leader", "band", "doc", "comp", F.lit(0).alias("side"), mine("nu").alias("ub"), every("nv").alias("vb"))
+    vs = whole.join(cells, ["leader", "band"]).select("leader", "band", "doc", "comp", F.lit(1).alias("side"), every("nu").alias("ub"), mine("nv").alias("vb"))
+    dealt = us.unionByName(vs.select(us.columns)).join(texts.select("doc", "text"), "doc")
+    return grouped(dealt, ["leader", "band", "ub", "vb"], _block_links(percent), "a long, b long")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of `documents` at a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"))

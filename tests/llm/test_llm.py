@@ -88,16 +88,47 @@ def test_quality_counts_and_bounds(docs):
 
 def test_quality_cutoffs_limit_false_rejection(spark, awkward, empty):
     rng = np.random.default_rng(1)
-    good = rng.random((8000, 1)) * 0.1
-    cut = quality.cutoffs(["s"] * 8000, good, rng.random(8000) < 0.5)
-    assert "s" in cut and (rng.random((20000, 1)) * 0.1 > cut["s"]).mean() <= 0.01
-    assert quality.cutoffs(["s"] * 60, good[:60], rng.random(60) < 0.5) == {}
+    rules = np.concatenate((rng.random((6000, 2)) * 0.1, rng.random((300, 2)) * [0.1, 1] + [0, 0.3]))
+    good, half = np.arange(6300) < 6000, rng.random(6300) < 0.5
+    alone, rest = quality.cutoffs(["s"] * 6300, rules, good, half)
+    cut = alone["s"]
+    assert rest is None and (cut.score(rules[~good]) > cut.most).all() and np.isinf(cut.unit[0])
+    assert (cut.score(rng.random((20000, 2)) * 0.1) > cut.most).mean() <= quality.LIMIT
+    few = np.concatenate((np.arange(60), np.arange(6000, 6010)))
+    assert quality.cutoffs(["s"] * 70, rules[few], good[few], half[few]) == ({}, None)
+    names = [f"t{i % 20}" for i in range(6300)]
+    alone, rest = quality.cutoffs(names, rules, good, half)
+    assert not alone and rest.most > 0
+    # a rule that tells nothing, and an unlucky second half: no cutoff rejects more than the bound allows
+    worst = 0
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        x = r.exponential(size=(2400, 1)) * 0.05
+        a, _ = quality.cutoffs(["s"] * 2400, x, np.ones(2400, bool), r.random(2400) < 0.5)
+        worst += bool(a) and np.exp(-(a["s"].most * a["s"].unit[0] + a["s"].middle[0]) / 0.05) > quality.LIMIT
+    assert worst <= 5
     labels = spark.createDataFrame([(1, 1, 0), (3, 1, 0), (None, 0, 0), (4, None, 1), (99, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality.judge(awkward, labels).collect()
     assert len(rows) == 11 and not any(r["kept"] for r in rows if r["n_words"] < 50)
     assert quality.judge(empty, labels).count() == 0
 
 
+def test_quality_rejects_bad_documents(spark):
+    """The query, on a table large enough for cutoffs: labelled bad documents go, good ones stay within the bound."""
+    sf = "/root/testdata/sf0.1"
+    rows = {r["doc_id"]: r for r in quality.op2_quality(spark, sf).collect()}
+    docs = {d["doc_id"]: d["text"] for d in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
+    assert rows.keys() == docs.keys()
+    for i in list(docs)[::25]:
+        w = docs[i].encode().split()
+        tri = collections.Counter(zip(w, w[1:], w[2:]))
+        cover = {j + k for j in range(len(w) - 2) if tri[w[j], w[j + 1], w[j + 2]] > 1 for k in range(3)}
+        assert (rows[i]["n_words"], rows[i]["n_repeat_words"], rows[i]["base_failed"]) == (len(w), len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w))
+    labels = [x for x in pq.read_table(f"{sf}/labels.parquet").to_pylist() if not rows[x["doc_id"]]["base_failed"]]
+    bad, fine = ([rows[x["doc_id"]]["kept"] for x in labels if x["quality"] == q] for q in (0, 1))
+    assert len(bad) > 200 and np.mean(bad) < 0.05 and np.mean(fine) > 0.99
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(2)
     for n in (1, 2, 4095, 4096, 4097, 9001):
@@ -196,7 +227,22 @@ def test_near_duplicates(spark, awkward, empty, docs, sf_dir):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_of_a_large_group(spark):
+def test_near_duplicates_of_repeated_ids(spark):
+    """Texts that share a doc_id and a size each keep their links."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (7, b + " more"), (8, a + " more"), (9, "another text of seven words only here")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)]
+
+
+def test_near_duplicates_larger(spark):
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()
+    want = plain_components(plain_sets([(d["doc_id"], d["text"]) for d in rows]), 85)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.op6_minhash(spark, "/root/testdata/sf0.01").collect()} == want
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK, 20_000])
+def test_near_duplicates_of_a_large_group(spark, block):
     """Copies of one text with more and fewer edits: some link only through others."""
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
@@ -208,7 +254,7 @@ def test_near_duplicates_of_a_large_group(spark):
         rows.append((i, " ".join(words)))
     rows += [(1000 + i, " ".join(f"z{i}_{k}" for k in range(50))) for i in range(30)]
     want = plain_components(plain_sets(rows), 85)
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
     assert got == want
 
 
@@ -248,6 +294,9 @@ def test_top_k(spark, sf_dir):
     out = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("vec_id = 0"), 3).orderBy("rank").collect()]
     assert out == [(1, 1, 131072), (2, 2, 131072), (3, 7, 0)]
     assert topk.top_k(df.where("false"), df, 3).count() == 0
+    far = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e12, 0.0]), (2, [3.0, 2.0]), (3, [-1e300, 9.0]), (4, [0.5] * 3000)], "vec_id long, embedding array<double>")
+    out = [(r["vec_id"], r["score"]) for r in topk.top_k(far, far.where("vec_id = 2"), 4).orderBy("rank").collect()]
+    assert out == [(0, (1 << 63) - 1), (1, 256 * 10**12 * 768), (4, 128 * 768 + 128 * 512), (3, -(1 << 63))]
 
 
 def test_trie(tmp_path):

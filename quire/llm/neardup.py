@@ -243,7 +243,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     second = _settled(big, label, texts, percent, block)
 
     link = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second.select("a", "b"))
-    final = components(link)
+    final = components(stored(link))
     held = classes.join(final, classes.doc == final.node, "left").select(*same, "least", F.coalesce("component", "doc").alias("component"))
     names = held.groupBy("component").agg(F.min("least").alias("component_id"))
     rows = real.select("doc_id", *same).join(held.join(names, "component").select(*same, "component_id"), same).select("doc_id", "n", "component_id")

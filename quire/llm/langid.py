@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import pa_schema
-from quire.llm.common import arrow, id_bucket, mix64, slices, strings, table
+from quire.llm.common import arrow, id_bucket, mix64, slices, stored, strings, table
 
 ORDER = 3
 CELLS = 1 << 20
@@ -160,6 +160,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     yield pa.RecordBatch.from_pydict({"size": np.full(len(at), size), "lang": lang[at], "gram": x[at].view(np.int64), "n": np.diff(np.append(at, len(x))), "texts": np.add.reduceat(text.astype(np.int64), at)})
 
     counted = arrow(rows.where(place < share), count, "size long, lang long, gram long, n long, texts long").groupBy("size", "lang", "gram").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    counted = stored(counted)
     totals = {r["lang"]: r["n"] for r in counted.where(F.col("size") == ORDER).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     words = np.zeros(CELLS, np.uint64)
     if totals:

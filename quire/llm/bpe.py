@@ -111,7 +111,7 @@ class Bpe:
         quotes = r"'s|'t|'re|'ve|'m|'ll|'d"
         pattern = regex.compile(quotes + (r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" if self.words else r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"))
         self._pretokens, self._matches = pattern.findall, pattern.finditer
-        self.most = 4 * CACHE
+        self.most = 10 * CACHE
         self.joins = {"beside white space": 0, "by a window": 0, "by wider windows": 0, "of long pretokens": 0}
         self._forget()
         self._spaced = None

@@ -142,6 +142,50 @@ def test_range_coder_round_trip():
         rangecoder.unframe(bytes(data))
 
 
+def test_range_coder_predicts(docs):
+    """On text, fewer bits than ids need by their shares in the frame alone."""
+    own = bpe.Bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = own.encode_many(pa.array([d["text"] for d in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()]))[0]
+    data = rangecoder.frame([1], np.array([len(ids)]), ids)
+    _, counts = np.unique(ids, return_counts=True)
+    alone = -(counts * np.log2(counts / len(ids))).sum()
+    assert (rangecoder.unframe(data)[2] == ids).all() and 8 * len(data) < 0.85 * alone, 8 * len(data) / alone
+    # any ids, in any number
+    wide = np.random.default_rng(3).integers(0, 1 << 32, 300_000, dtype=np.uint64).astype(np.uint32)
+    assert (rangecoder.unframe(rangecoder.frame([1], np.array([len(wide)]), wide))[2] == wide).all()
+
+
+def test_text_is_joined_at_real_places(docs):
+    """Halves of whole texts meet inside words; windows settle them, and the ids are those of the library."""
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        own, other = bpe.Bpe(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        texts = [d["text"] for d in docs] + ["a" * 5000, " " * 3000 + "x", "word" * 2000 + " end", "don't " * 900, "it'" * 2000 + "ll"]
+        for leaf in (7, 64, bpe.STRETCH):
+            ids, offs = own.encode_many(pa.array(texts), leaf)
+            assert all(ids[offs[i] : offs[i + 1]].tolist() == other.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts))
+        assert min(own.joins.values()) > 0
+        own = bpe.Bpe(public_tokenizers.path(name))
+        own.encode_many(pa.array([d["text"] for d in docs]))
+        assert own.joins["by a window"] + own.joins["by wider windows"] > 100
+
+
+def test_bpe_query(spark, docs, sf_dir):
+    other = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in bpe.op1_bpe(spark, sf_dir).collect():
+        ids = other.encode(next(d["text"] for d in docs if d["doc_id"] == r["doc_id"]), add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(other.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_equal_hashes_are_no_equal_pretokens(monkeypatch):
+    """With hashes that collide all the time, ids stay right: characters are compared."""
+    monkeypatch.setattr(bpe, "mix64", lambda x: x % np.uint64(50))
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        own, other = bpe.Bpe(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+        for t in ("one two three four five six one two", "some other words with three fives", " ".join(f"w{i}" for i in range(200))):
+            assert own.encode_many(pa.array([t]))[0].tolist() == other.encode(t, add_special_tokens=False).ids
+
+
 def test_token_files(spark, awkward, empty, docs, sf_dir, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     other, at = Tokenizer.from_file(path), 0

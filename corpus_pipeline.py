@@ -1,8 +1,9 @@
 """A training-data pipeline over `documents`: each stage is written as Parquet and read again by the next.
 
 language_id drops null texts and texts without letters, and fills null languages where one could be learnt; how clear a
-language is depends on how many there are, so no threshold of the score drops a text. line_dedup drops lines of recurring templates. near_duplicates keeps one document of each group of a
-similarity of 0.8 or more. secrets masks what the scanner accepts. packing, the last, returns the packed pieces.
+language is depends on how many there are, so no threshold of the score drops a text. line_dedup drops lines of
+recurring templates. near_duplicates keeps one document of each group of a similarity of 0.8 or more. secrets masks what
+the scanner accepts. packing, the last, returns the packed pieces.
 
 Defined cases are those of the operators; besides, a document emptied by line dedup stays as an empty text, rows
 with a null doc_id pass near-duplicate detection, and rows equal in doc_id and text become one there. n_chars follows
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import langid, linededup, neardup, packing, secrets
-from quire.llm.common import stored, table
+from quire.llm.common import scratch, stored, table
 
 SIMILAR = 80  # percent
 END_ID = 1
@@ -29,7 +30,7 @@ def _sized(df: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = langid.learn(docs)
     told = langid.identify(docs, filters, {c: F.col(c) for c in docs.columns})
-    kept = told.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"[\p{L}\p{M}]"))
+    kept = told.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}"))
     return kept.withColumn("lang", F.coalesce("lang", F.nullif("lang_pred", F.lit("und")))).select(docs.columns)
 
 
@@ -57,9 +58,11 @@ ORACLE_SQL = None  # tokenizing and packing are not SQL; tests compare each stag
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    """The stages over `documents`; tables that a stage made on its way go once its result is written."""
+    docs, held = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir))
+            made += held
+            held = [made.pop(len(made) - 1 - len(held))]
+    return STAGES[-1][1](spark, docs, sf_dir)

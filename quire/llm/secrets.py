@@ -3,8 +3,10 @@
 Lines with a telling word are searched for tokens of known form and for values assigned to keys such as `password`. A
 PEM private key is one finding from BEGIN to END, at the line of its BEGIN and after the other findings of that line;
 without an END, it takes the header and the base64 lines that follow. The SQL cuts texts into lines and so has the header
-alone, with its own score. Each candidate has FEATURES: length, character classes and transitions, dictionary coverage, and whether the path and the
-neighbouring words are those of examples. A forest of TREES small trees, trained on labelled findings, votes; a
+alone, with its own score. Each candidate has FEATURES: length, character classes, transitions between classes and
+between letters, dictionary coverage, and whether the path and the neighbouring words are those of examples. The
+dictionary is the first WORDS whole words of a public tokenizer's vocabulary, which stands in order of frequency; its
+path is a parameter. How usual a transition between letters is, is learnt from these words. A forest of TREES small trees, trained on labelled findings, votes; a
 candidate with more than half of the votes is a secret. The trees are compiled to CASE expressions, so scanning runs
 as DataFrame functions in one pass without a shuffle, over whole texts.
 
@@ -19,6 +21,10 @@ be null, and other columns pass unchanged.
 from __future__ import annotations
 
 import functools
+import json
+import math
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +33,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import table
 
 TREES, DEPTH, FINDINGS = 15, 6, 20_000
+WORDS = 1500  # of the dictionary
 MASK = "[REDACTED]"
 
-# Forms of known tokens, key words, placeholder and dictionary words.
+# Forms of known tokens, key words and placeholder words.
 TELLING = r"(?i)akia|asia|gh[pousr]_|xox[abprs]-|[sr]k_live_|aiza|eyj|private key|passw|pwd|secret|token|api[_-]?key|access[_-]?key|auth"
 FORMS = {
     "aws_key": r"A(?:KIA|SIA)[A-Z0-9]{16}",
@@ -43,7 +50,52 @@ FORMS = {
 KEYS = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"  # the end of a name of any length
 VALUE = r"[A-Za-z0-9+/_=.~!@-]{8,}"
 PLACEHOLDER = "example|sample|dummy|fake|placeholder|your|insert|change|xxx|todo|test|demo|redacted|foo|bar|default|none|null|true|false|undefined"
-DICTIONARY = "password|secret|token|access|client|server|config|user|name|admin|login|field|value|string|public|private|account|service|production|development|environ|process|request|response|header|cookie|session|every|thing|where|about|there|which|would|other|after|first|never|these|could|should|world|house|water|light|right|small|great|place|again|found|still|between|under|while|might|river|stone|letter|number|table|change|hello|qwerty|welcome|dragon|monkey|summer|winter|letmein"
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@functools.lru_cache(2)
+def dictionary(path: str | None = None) -> tuple[str, ...]:
+    """The first WORDS words of four letters or more of a vocabulary with word ends."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model["end_of_word_suffix"]
+    found = (t.removesuffix(end) for t, _ in sorted(model["vocab"].items(), key=lambda x: x[1]) if t.endswith(end))
+    return tuple([w for w in found if re.fullmatch("[a-z]{4,}", w)][:WORDS])
+
+
+def any_of(words) -> str:
+    """A pattern that takes the longest of the words, by a tree of their letters."""
+    if words == {""} or not words:
+        return ""
+    by: dict[str, set[str]] = {}
+    for w in words:
+        if w:
+            by.setdefault(w[0], set()).add(w[1:])
+    branches = [c + any_of(rest) for c, rest in sorted(by.items())]
+    whole = branches[0] if len(branches) == 1 and "" not in words else "(?:" + "|".join(branches) + ")"
+    return whole + ("?" if "" in words else "")
+
+
+@functools.lru_cache(2)
+def _covered(path: str | None = None) -> str:
+    return any_of({*dictionary(path), *PLACEHOLDER.split("|")})
+
+
+@functools.lru_cache(2)
+def grades(path: str | None = None) -> str:
+    """How usual each transition between letters is in the dictionary, 0 to 9, by rows of the first; row and column 0 are
+    for what is no letter."""
+    pairs = Counter(p for w in dictionary(path) for p in zip(w, w[1:]))
+    first = Counter(w for p in pairs.elements() for w in p[:1])
+    grade = lambda a, b: min(9, max(0, round(5 + 2 * math.log2((pairs[a, b] + 0.1) / (first[a] + 2.6) * 26) / 2)))
+    rows = ["0" * 27] + ["0" + "".join(str(grade(a, b)) for b in LETTERS) for a in LETTERS]
+    return "".join(rows)
+
 
 FORM = "|".join(FORMS.values())
 # Up to 24 characters before a finding are read as its context. A form begins a word; a key ends one, so the start of its name
@@ -59,8 +111,14 @@ PEM = HEADER + r"(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]{0,20}PRIVATE KEY---
 # The features in SQL;
 
 
-def features(dialect: str, v: str = "value", left: str = "lft", right: str = "rgt", path: str = "path") -> dict[str, str]:
+def features(dialect: str, v: str = "value", left: str = "lft", right: str = "rgt", path: str = "path", words: str | None = None) -> dict[str, str]:
     """SQL of each feature, for `spark` or `duckdb`."""
+    grade = lambda a, b: f"coalesce(try_cast(substring('{grades(words)}', cast(27 * {a} + {b} + 1 as int), 1) as int), 0)"
+    spots = f"list_transform(string_split(lower({v}), ''), lambda c: instr('{LETTERS}', c))" if dialect == "duckdb" else f"transform(split(lower({v}), ''), c -> instr('{LETTERS}', c))"
+    if dialect == "duckdb":
+        usual = f"coalesce(list_sum(list_transform(list_zip({spots}, {spots}[2:]), lambda z: {grade('z[1]', 'z[2]')})), 0)"
+    else:
+        usual = f"aggregate(zip_with({spots}, slice({spots}, 2, length({v})), (a, b) -> {grade('a', 'b')}), 0, (s, x) -> s + x)"
     flag = ", 'g'" if dialect == "duckdb" else ""
     drop = lambda p, x=v, by="": f"regexp_replace({x}, '{p}', '{by}'{flag})"
     n = f"cast(length({v}) as double)"
@@ -75,7 +133,8 @@ def features(dialect: str, v: str = "value", left: str = "lft", right: str = "rg
         "transitions": f"(length({runs}) - 1) / {n}",
         "variety": f"{chars} / {n}",
         "vowels": f"(length({v}) - length({drop('[aeiouAEIOU]')})) / {n}",
-        "words": f"(length({v}) - length({drop(DICTIONARY + '|' + PLACEHOLDER, f'lower({v})')})) / {n}",
+        "usual": f"cast({usual} as double) / {n}",
+        "words": f"(length({v}) - length({drop(_covered(words), f'lower({v})')})) / {n}",
         "dots": f"(length({v}) - length({drop('[./]')})) / {n}",
         "stand_in": like(f"lower({v})", PLACEHOLDER),
         "near_example": like(f"lower(concat({left}, ' ', {right}))", "example|sample|dummy|fake|placeholder|documentation|illustration"),
@@ -87,16 +146,23 @@ def features(dialect: str, v: str = "value", left: str = "lft", right: str = "rg
 FEATURES = tuple(features("spark"))
 
 
-def _numbers(rows: list[tuple]) -> np.ndarray:
+def _numbers(rows: list[tuple], words: str | None = None) -> np.ndarray:
     """The features of findings, for training; the same rules as the SQL."""
-    import re
+    covered, usual = re.compile(_covered(words)), grades(words)
+    near_words, path_words = "example|sample|dummy|fake|placeholder|documentation|illustration", "test|example|sample|fixture|mock|doc"
 
     def one(v: str, left: str, right: str, path: str) -> list[float]:
         n = len(v)
         share = lambda p, x=v: (n - len(re.sub(p, "", x))) / n
         runs = re.sub("[0-9]+", "&", re.sub("[A-Z]+", "#", re.sub("[a-z]+", "%", v)))
         near = f"{left} {right}".lower()
-        return [n, share("[0-9]"), share("[A-Z]"), share("[a-z]"), (len(runs) - 1) / n, len(set(v)) / n, share("[aeiouAEIOU]"), share(DICTIONARY + "|" + PLACEHOLDER, v.lower()), share("[./]"), float(bool(re.search(PLACEHOLDER, v.lower()))), float(bool(re.search("example|sample|dummy|fake|placeholder|documentation|illustration", near))), float(bool(re.search("[=:][ \t]*[\"']?$", left))), float(bool(re.search("test|example|sample|fixture|mock|doc", path.lower())))]
+        spots = [LETTERS.find(c) + 1 for c in v.lower()]
+        steps = sum(int(usual[27 * a + b]) for a, b in zip(spots, spots[1:]))
+        found = lambda p, x: float(bool(re.search(p, x)))
+        return [
+            n, share("[0-9]"), share("[A-Z]"), share("[a-z]"), (len(runs) - 1) / n, len(set(v)) / n, share("[aeiouAEIOU]"), steps / n, share(covered, v.lower()),
+            share("[./]"), found(PLACEHOLDER, v.lower()), found(near_words, near), found("[=:][ \t]*[\"']?$", left), found(path_words, path.lower()),
+        ]
 
     return np.array([one(*r[:4]) for r in rows]).reshape(-1, len(FEATURES))
 
@@ -107,7 +173,7 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
     pick = lambda xs: xs[int(r.integers(len(xs)))]
     draw = lambda alphabet, k: "".join(alphabet[i] for i in r.integers(len(alphabet), size=int(k)))
     up, low, dig = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    words = DICTIONARY.split("|")
+    words = dictionary()
     syllables = [a + b for a in "bcdfghlmnprstvw" for b in ("a", "e", "i", "o", "u", "an", "er", "in", "on", "ent")]
     prose = lambda: "".join(pick(syllables) for _ in range(int(r.integers(2, 6))))
     keys = ["password", "passwd", "secret", "token", "api_key", "access_key", "auth", "db_password", "SECRET"]

@@ -617,4 +617,43 @@ def test_pipeline_stages(spark, awkward, empty, sf_dir):
     nothing = empty.select(docs.columns)
     for _, stage in P.STAGES:
         assert stage(spark, nothing, sf_dir).count() == 0
-    assert hashlib and P.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_against_plain_stages(spark, docs, sf_dir):
+    """The query's pieces hold the ids of each document that plain versions of the stages keep."""
+    import re
+
+    import corpus_pipeline as P
+
+    rows = [(d["doc_id"], d["text"]) for d in docs if d["text"] is not None and re.search(r"[^\W\d_]", d["text"])]
+    deduped = {r["doc_id"]: r["text"] for r in linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}  # against SQL above
+    sets = plain_sets(sorted(deduped.items()))
+    keep = [i for i, c in plain_components(sets, 80).items() if i == c]
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame([(d["doc_id"], deduped[d["doc_id"]], d["source"]) for d in docs if d["doc_id"] in deduped], "doc_id long, text string, source string")).collect()}
+    other = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: other.encode(masked[i], add_special_tokens=False).ids + [1] for i in keep}
+    at = collections.Counter()
+    for r in P.run(spark, sf_dir).orderBy("doc_id", "start").collect():
+        piece = np.array(want[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4")
+        assert r["start"] == at[r["doc_id"]] and zlib.crc32(piece.tobytes()) == r["ids_crc32"]
+        at[r["doc_id"]] += r["length"]
+    assert at == {i: len(x) for i, x in want.items()}
+
+
+def test_awkward_names(spark, awkward):
+    """Columns of any name stay apart from those that operators make."""
+    import corpus_pipeline as P
+
+    clash = ["id", "key", "ids", "rep", "n", "keeper", "component_id", "kept", "doc", "mark", "least", "stratum", "most", "a", "b", "line", "group"]
+    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars").selectExpr("*", *[f"doc_id as `{c}`" for c in clash])
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.where("doc_id <> id or doc_id <> kept").count() == 0
+    assert packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1).count() >= 11
+    assert lm.score(docs, lm.F.lit(True)).count() == 11
+    assert rows_of(quality.judge(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))) == 11
+    assert rows_of(neardup.near_duplicates(docs)) == 11 and rows_of(secrets.scan(docs, ["doc_id", "id"])) == 1
+
+
+def rows_of(df):
+    return len(df.collect())

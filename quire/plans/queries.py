@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.functions import vectors as V
 from quire.operators import corpus as C
+from quire.operators import metrics as M
 from quire.operators import search as S
 
 QUERY, PHRASE, LITERAL = "license the version", '"the and"', "of the"
@@ -74,7 +75,7 @@ def library_fusion(spark, sf):
 
 def batch_topk(spark, sf):
     emb = _table(spark, sf, "embeddings")
-    queries = emb.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    queries = emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
     out = S.batch_vectors(queries, emb.select(F.col("vec_id").alias("n"), F.col("embedding").alias("vector")), 5)
     return out.select("qid", "n", _round(F.col("score")).alias("score"), "rank")
 
@@ -105,7 +106,7 @@ def repeated_lines(spark, sf):
 
 def exact_dup_keep_first(spark, sf):
     docs = _table(spark, sf, "documents")
-    return C.keep_first(docs, [F.col("source"), F.sha2("text", 256)], [F.col("doc_id")], F.length("text") > 200).select("doc_id", "source")
+    return C.keep_first(docs, [F.col("source"), F.sha2("text", 256)], "doc_id", F.length("text") > 200).select("doc_id", "source")
 
 
 def html_title_meta(spark, sf):
@@ -114,7 +115,7 @@ def html_title_meta(spark, sf):
 
 def find_ids(spark, sf):
     text = F.col("text")
-    return _table(spark, sf, "documents").select("doc_id", T.isbn13(text).alias("isbn"), T.doi(text).alias("doi"), F.size(T.emails(text)).cast("long").alias("emails"))
+    return _table(spark, sf, "documents").select("doc_id", T.isbn13(text).alias("isbn"), T.isbn10(text).alias("isbn10"), T.arxiv(text).alias("arxiv"), T.doi(text).alias("doi"), F.size(T.emails(text)).cast("long").alias("emails"))
 
 
 def conversation_contiguity(spark, sf):
@@ -148,12 +149,15 @@ def rank_metrics(spark, sf):
     return both.select("positives", "negatives", _round(F.col("auc")).alias("auc"), _round(F.col("brier")).alias("brier"), "n")
 
 
-def cer_levenshtein(spark, sf):
-    """Error rate of each benchmark text against the one before it."""
+def _earlier(spark, sf):
+    """Benchmark texts with the one before, as a transcription and its reference."""
     items = _table(spark, sf, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
-    earlier = items.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("reference"))
-    cer = F.levenshtein("text", "reference") / F.greatest(F.length("reference"), F.lit(1))
-    return items.join(earlier, "item_id").select("item_id", _round(cer).alias("cer"))
+    return items.join(items.select((F.col("item_id") + 1).alias("item_id"), F.col("text").alias("reference")), "item_id")
+
+
+def cer_levenshtein(spark, sf):
+    """Error rate by character of benchmark texts against those before them."""
+    return M.character_error(_earlier(spark, sf), "text", "reference").select(_round(F.col("cer")).alias("cer"))
 
 
 def content_hash_rows(spark, sf):
@@ -168,7 +172,7 @@ def dice_similarity(spark, sf):
     """Each benchmark text and the next."""
     items = _table(spark, sf, "benchmark")
     nxt = items.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
-    return items.join(nxt, "item_id").select("item_id", _round(C.dice(F.col("text"), F.col("other"))).alias("dice"))
+    return C.dice_pairs(items.join(nxt, "item_id"), "item_id", "text", "other").select("item_id", _round(F.col("dice")).alias("dice"))
 
 
 def page_positions(spark, sf):
@@ -216,13 +220,14 @@ def _vec(score: str) -> str:
     return f"SELECT docref, n, {_r('score')} AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY docref ORDER BY score DESC, n) AS INTEGER) AS rank FROM (SELECT CAST(label AS VARCHAR) AS docref, vec_id AS n, {score} AS score FROM embeddings)) WHERE rank <= 10"
 
 
-_GARBAGE = "CASE WHEN length(regexp_replace(text, '\\s', '', 'g')) > 0 THEN length(regexp_replace(regexp_replace(text, '\\s', '', 'g'), '[\\p{L}\\p{N}.,;:!?''\"()-]', '', 'g')) / CAST(length(regexp_replace(text, '\\s', '', 'g')) AS DOUBLE) ELSE 0 END"
-_I8 = f"list_transform({_V}, lambda x: greatest(-127.0, least(127.0, sign(x) * floor(abs(x) * 127 + 0.5))) / 127)"
+_LETTERS = "length(regexp_replace(text, '[^\\p{L}]', '', 'g'))"
+_GARBAGE = f"CASE WHEN length(text) = 0 THEN 1.0 ELSE least(1.0, len(regexp_extract_all(text, '{T.BROKEN}')) * {T.BROKEN_WEIGHT} / CAST(length(text) AS DOUBLE) + CASE WHEN {_LETTERS} / CAST(length(text) AS DOUBLE) < {T.FEW_LETTERS} THEN {T.FEW_LETTERS_COST} ELSE 0.0 END) END"
+_I8 = f"list_transform({_V}, lambda x: greatest(-127.0, least(127.0, sign(x) * floor(abs(CAST(CAST(x AS FLOAT) AS DOUBLE)) * 127 + 0.5))) / 127)"
 _TOKENS = r"CAST(greatest(ceil(length(text) / 4.0), floor((len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) * 13 + 9) / 10.0)) AS BIGINT)"
 
 
 def _votes() -> str:
-    words = "regexp_extract_all(lower(text), '\\p{L}+')"
+    words = "regexp_extract_all(lower(text), '\\p{L}+')[1:20000]"
     counts = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(s) for s in sorted(set(v)))}))) AS {k}_" for k, v in T.STOP_WORDS.items())
     pick = " ".join(f"WHEN {k}_ = best THEN '{k}'" for k in T.STOP_WORDS)
     return f"SELECT doc_id, CASE WHEN n >= 20 AND best >= 5 AND best * 100 >= n * 8 THEN CASE {pick} END END AS vote FROM (SELECT *, greatest({', '.join(k + '_' for k in T.STOP_WORDS)}) AS best FROM (SELECT doc_id, len(w) AS n, {counts} FROM (SELECT doc_id, {words} AS w FROM documents)))"
@@ -230,7 +235,7 @@ def _votes() -> str:
 
 _META = lambda name: f"nullif(regexp_extract(html, '<meta\\s+name=[\"'']{name}[\"'']\\s+content=[\"'']([^\"'']*)[\"'']', 1), '')"
 _ISBN = "list_filter(list_transform(regexp_extract_all(text, '97[89][0-9-]{10,14}'), lambda x: replace(x, '-', '')), lambda x: length(x) = 13 AND list_sum(list_transform(range(1, 14), lambda i: CAST(substr(x, i, 1) AS INTEGER) * (1 + 2 * ((i + 1) % 2)))) % 10 = 0)[1]"
-_PAIRS = lambda x: f"list_distinct(list_transform(range(1, greatest(length({x}) - 1, 1) + 1), lambda i: substr({x}, i, 2)))"
+_ISBN10 = "list_filter(list_transform(regexp_extract_all(text, '(?i)ISBN(?:-10)?:?\\s*((?:[0-9][ -]?){9}[0-9Xx])', 1), lambda x: upper(regexp_replace(x, '[ -]', '', 'g'))), lambda x: list_sum(list_transform(range(1, 11), lambda i: (11 - i) * CASE WHEN substr(x, i, 1) = 'X' THEN 10 ELSE CAST(substr(x, i, 1) AS INTEGER) END)) % 11 = 0)[1]"
 
 
 def _flat(x: str) -> str:
@@ -251,24 +256,27 @@ parts AS (SELECT docref, n, 0 AS place, 'lexical' AS method, 1.0 / CAST({S.RRF}
 fused AS (SELECT docref, n, sum(share ORDER BY place) AS score, string_agg(method, '+' ORDER BY place) AS via FROM parts GROUP BY ALL)
 SELECT docref, n, {_r('score')} AS score, via, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY docref ORDER BY score DESC, n) AS INTEGER) AS rank FROM fused) WHERE rank <= 10""",
     "library_fusion": f"WITH {_bm25(_terms(), False)} SELECT docref, n, {_r('score')} AS score, rank, place FROM (SELECT *, CAST(row_number() OVER (ORDER BY rank, score DESC, docref, n) AS INTEGER) AS place FROM ranked_10) WHERE place <= 25",
-    "batch_topk": f"SELECT qid, n, {_r('score')} AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, n) AS INTEGER) AS rank FROM (SELECT q.vec_id AS qid, e.vec_id AS n, list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 20)) WHERE rank <= 5",
+    "batch_topk": f"SELECT qid, n, {_r('score')} AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, n) AS INTEGER) AS rank FROM (SELECT q.vec_id AS qid, e.vec_id AS n, list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= 5",
     "quantize_i8_error": f"SELECT vec_id, {_r(f'list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q)))')} AS i8_cosine FROM (SELECT vec_id, {_V} AS v, {_I8} AS q FROM embeddings)",
     "matryoshka_share": f"SELECT vec_id, {_r('sqrt(list_inner_product(v[1:32], v[1:32])) / sqrt(list_inner_product(v, v))')} AS half_share FROM (SELECT vec_id, {_V} AS v FROM embeddings)",
     "language_vote": _votes(),
     "count_tokens": f"SELECT doc_id, {_TOKENS} AS n_tokens FROM documents",
-    "garbage_ratio": f"SELECT doc_id, {_r(_GARBAGE)} AS garbage, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters FROM documents",
+    "garbage_ratio": f"SELECT doc_id, {_r(_GARBAGE)} AS garbage, {_LETTERS} AS letters FROM documents",
     "repeated_lines": "SELECT source, line, count(*) AS times FROM (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY ALL HAVING count(*) >= 3",
     "exact_dup_keep_first": "SELECT doc_id, source FROM (SELECT doc_id, source, length(text) AS k, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS r FROM documents) WHERE r = 1 OR k <= 200",
     "html_title_meta": f"SELECT page_id, url, nullif(trim(regexp_replace(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '') AS title, {_META('description')} AS description, {_META('author')} AS author FROM pages",
-    "find_ids": f"SELECT doc_id, {_ISBN} AS isbn, nullif(regexp_extract(text, '(10\\.[0-9]{{4,9}}/[-._;()/:A-Za-z0-9]*[A-Za-z0-9])', 1), '') AS doi, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS emails FROM documents",
+    "find_ids": f"SELECT doc_id, {_ISBN} AS isbn, {_ISBN10} AS isbn10, nullif(regexp_extract(text, 'arXiv:\\s?([0-9]{{4}}\\.[0-9]{{4,5}})(?:v[0-9]+)?', 1), '') AS arxiv, nullif(regexp_extract(text, '(10\\.[0-9]{{4,9}}/[-._;()/:A-Za-z0-9]*[A-Za-z0-9])', 1), '') AS doi, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS emails FROM documents",
     "conversation_contiguity": "SELECT conv_id, count(*) AS n, min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*) AS contiguous FROM conversations GROUP BY conv_id",
     "neighbours": "SELECT conv_id, turn, coalesce(lag(role) OVER w, '') AS before, coalesce(lead(role) OVER w, '') AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "speaker_share": f"SELECT conv_id, role AS speaker, {_r('w / total')} AS share FROM (SELECT conv_id, role, CAST(w AS DOUBLE) AS w, sum(w) OVER (PARTITION BY conv_id) AS total, row_number() OVER (PARTITION BY conv_id ORDER BY w DESC, role) AS r FROM (SELECT conv_id, role, sum(length(text)) AS w FROM conversations GROUP BY ALL)) WHERE r = 1",
     "sheet_blocks": "SELECT CAST(n_nationkey // 10 AS BIGINT) AS block, CAST(min(n_nationkey) + 2 AS BIGINT) AS row_from, CAST(max(n_nationkey) + 2 AS BIGINT) AS row_to, string_agg(concat_ws(' | ', n_nationkey, n_name, n_regionkey), chr(10) ORDER BY n_nationkey) AS body FROM nation GROUP BY 1",
     "rank_metrics": f"WITH j AS (SELECT floor((1 - ({_GARBAGE})) * 1e4 + 0.5) / 1e4 AS s, quality AS y FROM documents JOIN labels USING (doc_id)), by_s AS (SELECT s, sum(y) AS p, sum(1 - y) AS q FROM j GROUP BY s), b AS (SELECT p, q, coalesce(sum(q) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM by_s) SELECT CAST(sum(p) AS BIGINT) AS positives, CAST(sum(q) AS BIGINT) AS negatives, {_r('CAST(sum(p * (below + q / 2.0)) AS DOUBLE) / (sum(p) * sum(q))')} AS auc, (SELECT {_r('avg((s - y) ** 2)')} FROM j) AS brier, (SELECT count(*) FROM j) AS n FROM b",
-    "cer_levenshtein": f"WITH i AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark) SELECT a.item_id, {_r('levenshtein(a.text, b.text) / CAST(greatest(length(b.text), 1) AS DOUBLE)')} AS cer FROM i a JOIN i b ON a.item_id = b.item_id + 1",
+    "cer_levenshtein": f"WITH i AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark) SELECT {_r('sum(levenshtein(a.text, b.text)) / CAST(sum(length(b.text)) AS DOUBLE)')} AS cer FROM i a JOIN i b ON a.item_id = b.item_id + 1",
     "content_hash_rows": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "library_summary": f"SELECT source, CAST(sum(k) AS BIGINT) AS passages, CAST(sum(c) AS BIGINT) AS characters, min(t) FILTER (upto > total // 2) AS median_tokens, max(t) AS max_tokens FROM (SELECT source, t, k, c, sum(k) OVER (PARTITION BY source ORDER BY t) AS upto, sum(k) OVER (PARTITION BY source) AS total FROM (SELECT source, {_TOKENS} AS t, count(*) AS k, sum(length(text)) AS c FROM documents GROUP BY ALL)) GROUP BY source",
-    "dice_similarity": f"SELECT item_id, {_r('2 * len(list_intersect(x, y)) / CAST(len(x) + len(y) AS DOUBLE)')} AS dice FROM (SELECT a.item_id, {_PAIRS('a.t')} AS x, {_PAIRS('b.t')} AS y FROM (SELECT item_id, {_flat('text')} AS t FROM benchmark) a JOIN (SELECT item_id, {_flat('text')} AS t FROM benchmark) b ON b.item_id = a.item_id + 1)",
+    "dice_similarity": f"""WITH p AS (SELECT a.item_id, a.t AS x, b.t AS y FROM (SELECT item_id, {_flat('text')} AS t FROM benchmark) a JOIN (SELECT item_id, {_flat('text')} AS t FROM benchmark) b ON b.item_id = a.item_id + 1),
+g AS (SELECT item_id, substr(t, i, 2) AS g, side FROM (SELECT item_id, x AS t, 0 AS side, unnest(range(1, length(x))) AS i FROM p UNION ALL SELECT item_id, y, 1, unnest(range(1, length(y))) FROM p)),
+c AS (SELECT item_id, sum(least(m, n)) AS common FROM (SELECT item_id, g, count(*) FILTER (side = 0) AS m, count(*) FILTER (side = 1) AS n FROM g GROUP BY ALL) GROUP BY item_id)
+SELECT item_id, {_r("CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0 ELSE 2 * coalesce(common, 0) / CAST(length(x) + length(y) - 2 AS DOUBLE) END")} AS dice FROM p LEFT JOIN c USING (item_id)""",
     "page_positions": "SELECT doc_id, substr(text, CAST(floor(length(text) / 3.0) AS INTEGER) + 1, 24) AS piece, length(text) AS size FROM documents",
 }

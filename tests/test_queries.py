@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quire.plans import more
+from quire.plans import more, places
 from quire.plans import queries as Q
 
-QUERIES, SQL = Q.QUERIES | more.QUERIES, Q.SQL | more.SQL
+QUERIES, SQL = Q.QUERIES | more.QUERIES | places.QUERIES, Q.SQL | more.SQL | places.SQL
 
 
 @pytest.fixture(scope="module")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import resolve as R
+from quire.operators import units as U
 
 
 def test_documents(spark):
@@ -21,7 +22,7 @@ def test_places(spark):
     times = spark.createDataFrame([("d", 0.0), ("d", 5.0), ("d", 9.0), ("d", 9.5), ("e", 1.0)], "docref string, t double")
     assert {(r["docref"], r["t"]): r["unit"] for r in R.units_at(times, units).collect()} == {("d", 0.0): "a", ("d", 5.0): "b", ("d", 9.0): "b", ("d", 9.5): None, ("e", 1.0): None}
     sections = spark.createDataFrame([("d", "s", 1, 1, 2), ("d", "t", 2, 2, 2)], "docref string, section string, level int, first long, last long")
-    assert {r["id"]: r["section"] for r in R.leaf_sections(units, sections).collect()} == {"a": "s", "b": "t"}
+    assert {r["id"]: r["section"] for r in U.leaf_sections(units, sections).collect()} == {"a": "s", "b": "t"}
 
 
 def test_columns(spark):

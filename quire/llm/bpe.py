@@ -28,6 +28,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow, grouped, mix64, polynomial, slices, strings, table
+from quire.llm.common import KEPT, arrow, grouped, mix64, polynomial, slices, strings, table
 
 LEAF = 256  # symbols of an unsplit pretoken that are merged in one run
 STRETCH = 1024  # characters of a leaf of a text
 PIECE = 1 << 16  # characters of a text that one task encodes at once
 CACHE = 100_000  # entries of each chunk table in a worker
+MEMO = 1_000_000  # distinct pretokens that a worker remembers
 
 
 def _byte_letters() -> dict[int, str]:
@@ -111,7 +113,7 @@ class Bpe:
         quotes = r"'s|'t|'re|'ve|'m|'ll|'d"
         pattern = regex.compile(quotes + (r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" if self.words else r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"))
         self._pretokens, self._matches = pattern.findall, pattern.finditer
-        self.most = 10 * CACHE
+        self.most = MEMO
         self.joins = {"beside white space": 0, "by a window": 0, "by wider windows": 0, "of long pretokens": 0}
         self._forget()
         self._spaced = None
@@ -601,13 +603,17 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", then=None, schema: str = "ids binary", piece: int | None = PIECE, leaf: int | None = None) -> DataFrame:
+KEPT.append(load.cache_clear)
+
+
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", then=None, schema: str = "ids binary", piece: int | None = PIECE, leaf: int | None = None, memo: int = MEMO) -> DataFrame:
     """Encode every whole text: the id column and `ids` (little-endian unsigned 32-bit).
 
     `then(bpe, rows)` may make other columns of each partition's rows: from an iterator of (id values, all ids, each
     row's offsets) it yields lists of columns, the id first, as `schema` says. Texts of more than `piece` characters
     are encoded in pieces by other tasks and joined by document; with None all rows stay in place and order. With `leaf`
-    texts are halved down to that many characters and joined (the dealt method); without, each text is one leaf."""
+    texts are halved down to that many characters and joined (the dealt method); without, each text is one leaf. A worker
+    remembers up to `memo` distinct pretokens."""
     then = then or _ids
     kind = df.schema[id_col].dataType.simpleString()
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -621,21 +627,22 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def in_place(batches):
         bpe = load(path)
+        bpe.most = memo
         cut = (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024))
         yield from made(bpe, ((b["id"].to_pylist(), *bpe.encode_many(b["text"], leaf)) for b in cut))
 
     def cut_rows(batches):
-        bpe = load(path)
         fields = pa_schema(part_schema + ", text string")
         for b in batches:
+            bpe = load(path)
             for key, i, t in zip(b["key"].to_pylist(), b["id"].to_pylist(), b["text"].to_pylist()):
                 for k, x in enumerate(bpe.pieces(t, piece)):
                     yield pa.RecordBatch.from_pylist([dict(zip(fields.names, (key, i, k, *x)))], schema=fields)
 
     def encode_pieces(batches):
-        bpe = load(path)
         fields = pa_schema(part_schema + ", ids binary")
         for b in batches:
+            bpe = load(path)
             ids = [bpe.piece(f, z, t) if c else bpe.encode_many(pa.array([t]), leaf)[0].tobytes() for c, f, z, t in zip(*(b[n].to_pylist() for n in ("cut", "first", "last", "text")))]
             yield pa.RecordBatch.from_arrays([*(b[n] for n in fields.names[:-1]), pa.array(ids, pa.binary())], schema=fields)
 
@@ -645,15 +652,16 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         return pa.table([t["id"][:1], pa.array([ids], pa.binary())], names=["id", "ids"])
 
     def after(batches):
-        yield from made(load(path), ((b["id"].to_pylist(), *_flat(b["ids"])) for b in batches))
+        for first in batches:  # without rows nothing is loaded
+            yield from made(load(path), ((b["id"].to_pylist(), *_flat(b["ids"])) for b in chain([first], batches)))
 
     if piece is None:
-        return arrow(base, in_place, out_schema).withColumnRenamed("id", id_col)
-    plain = arrow(base.where(F.length("text") <= piece), in_place, out_schema)
+        return arrow(base, in_place, out_schema, True).withColumnRenamed("id", id_col)
+    plain = arrow(base.where(F.length("text") <= piece), in_place, out_schema, True)
     long = base.where(F.length("text") > piece).withColumn("key", F.monotonically_increasing_id())
-    parts = arrow(long, cut_rows, part_schema + ", text string")
-    dealt = arrow(parts.repartition(F.col("key"), F.col("seq")), encode_pieces, part_schema + ", ids binary")
-    whole = arrow(grouped(dealt, ["key"], joined, f"id {kind}, ids binary"), after, out_schema)
+    parts = arrow(long, cut_rows, part_schema + ", text string", True)
+    dealt = arrow(parts.repartition(F.col("key"), F.col("seq")), encode_pieces, part_schema + ", ids binary", True)
+    whole = arrow(grouped(dealt, ["key"], joined, f"id {kind}, ids binary", True), after, out_schema, True)
     return plain.unionByName(whole).withColumnRenamed("id", id_col)
 
 

@@ -76,22 +76,35 @@ def release() -> None:
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
-def arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    """mapInArrow over batches of bounded bytes."""
+KEPT: list[Callable[[], None]] = []  # what empties the tables that a worker keeps between its tasks
+
+
+def let_go() -> None:
+    """Empty what tasks of other operators left in this worker."""
+    for empty in KEPT:
+        empty()
+
+
+def arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str, keeps: bool = False) -> DataFrame:
+    """mapInArrow over batches of bounded bytes. `keeps`: it uses what tasks before left in the worker."""
     lean(df.sparkSession)
 
     def freed(batches):
+        if not keeps:
+            let_go()
         yield from run(batches)
         release()
 
     return df.mapInArrow(freed, schema)
 
 
-def grouped(df: DataFrame, keys: list[str], run: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], run: Callable[[pa.Table], pa.Table], schema: str, keeps: bool = False) -> DataFrame:
     """applyInArrow by key; large groups are given back at once."""
     lean(df.sparkSession)
 
     def freed(t: pa.Table) -> pa.Table:
+        if not keeps:
+            let_go()
         size, out = t.nbytes, run(t)
         del t
         if size > 1 << 20:

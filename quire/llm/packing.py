@@ -26,6 +26,7 @@ from quire.llm.common import table
 WINDOW = 2048
 GROUP = 8_000_000  # tokens whose remainders are packed together
 SLACK = 32
+MEMO = 400_000  # distinct pretokens that a worker remembers, beside a group's tokens
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
@@ -114,11 +115,11 @@ def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col
         def solved():
             nonlocal seq
             counts = np.concatenate(sizes)
-            ids, ends = np.concatenate(parts), np.cumsum(counts)
             p, n = pack_rows(counts)
-            begin = (ends - counts)[p[:, 0]] + p[:, 1]
-            data = memoryview(ids).cast("B")
-            crc = [zlib.crc32(data[4 * a : 4 * (a + k)]) for a, k in zip(begin.tolist(), p[:, 2].tolist())]
+            begin = np.concatenate([np.cumsum(x) - x for x in sizes])[p[:, 0]] + p[:, 1]
+            part = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])[p[:, 0]]
+            data = [memoryview(x).cast("B") for x in parts]
+            crc = [zlib.crc32(data[q][4 * a : 4 * (a + k)]) for q, a, k in zip(part.tolist(), begin.tolist(), p[:, 2].tolist())]
             seq += n
             return [[own[i] for i in p[:, 0].tolist()], p[:, 1], p[:, 2], crc, counts[p[:, 0]], base + seq - n + p[:, 3], p[:, 4]]
 
@@ -136,7 +137,7 @@ def pack(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col
         if own:
             yield solved()
 
-    return B.encode(df, path, id_col, text_col, then=pieces, schema="start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return B.encode(df, path, id_col, text_col, then=pieces, schema="start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", memo=MEMO)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

@@ -526,6 +526,19 @@ def test_packing(spark, docs, sf_dir, awkward, empty):
     assert packing.pack(empty, public_tokenizers.path("word_bpe_49k.json"), 1).count() == 0
 
 
+def test_workers_let_go_of_tokenizers(spark):
+    from pyspark.sql import functions as F
+
+    from quire.llm.common import arrow
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = spark.range(0, 64, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"))
+    loaded = lambda keeps: arrow(spark.range(0, 64, 1, 4), lambda batches: (pa.record_batch([pa.array([bpe.load.cache_info().currsize])], ["n"]) for _ in batches), "n long", keeps).agg(F.max("n")).first()[0]
+    assert packing.pack(rows, path, 1).select("doc_id").distinct().count() == 64
+    assert loaded(True) == 1  # workers are used again
+    assert loaded(False) == 0
+
+
 def test_best_fill_is_the_best():
     rng = np.random.default_rng(4)
     for _ in range(60):

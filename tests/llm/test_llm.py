@@ -113,6 +113,22 @@ def test_quality_cutoffs_limit_false_rejection(spark, awkward, empty):
     assert quality.judge(empty, labels).count() == 0
 
 
+def test_quality_fits_on_all_labels(spark):
+    rng, n = np.random.default_rng(5), 120_000
+    strata = [None if x == 3 else f"s{x}" for x in rng.choice(6, n, p=[0.4, 0.3, 0.2, 0.0975, 0.002, 0.0005])]
+    good, half = rng.random(n) < 0.95, rng.random(n) < 0.5
+    rules = np.round(rng.exponential(0.05, (n, len(quality.RULES))), 4)
+    rules[~good, 1] += rng.random(int((~good).sum()))
+    rows = pa.table({"stratum": pa.array(strata), "good": good, "proposes": half, "x": pa.array(list(rules))})
+    want, got = quality.cutoffs(strata, rules, good, half), quality.fitted(spark.createDataFrame(rows))
+    assert set(want[0]) == set(got[0]) == {"s0", "s1", "s2", None}
+    for a, b in [(want[0][k], got[0][k]) for k in want[0]] + [(want[1], got[1])]:
+        assert (a is None and b is None) or (np.array_equal(a.middle, b.middle) and np.array_equal(a.unit, b.unit) and a.most == b.most)
+    x = np.concatenate(([-0.0, 0.0, -1.5, 1e-300, np.inf, -np.inf], rng.normal(size=500)))
+    df = spark.createDataFrame([(2, [float(v)]) for v in x], "cell int, x array<double>")
+    assert quality.order_statistics(df, {2: [[0, 1, 250, 505]]}) == {(2, 0, r): np.sort(x)[r] for r in (0, 1, 250, 505)}
+
+
 def test_quality_rejects_bad_documents(spark):
     """The query, on a table large enough for cutoffs: labelled bad documents go, good ones stay within the bound."""
     sf = "/root/testdata/sf0.1"

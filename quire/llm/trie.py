@@ -118,12 +118,15 @@ def _rising(values: np.ndarray, pointers: np.ndarray) -> np.ndarray:
     """The values of ranges, each plus the last of the range before."""
     if not len(values):
         return values
-    last = values[pointers[1:] - 1] + 1
-    return values + 1 + np.repeat(np.cumsum(last) - last, np.diff(pointers))
+    size = np.diff(pointers)
+    last = np.where(size > 0, values[pointers[1:] - 1] + 1, 0)
+    return values + 1 + np.repeat(np.cumsum(last) - last, size)
 
 
-def _codes(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _codes(logs: np.ndarray, least: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     lo, hi = (float(logs.min()), float(logs.max())) if len(logs) else (0.0, 0.0)
+    if least is not None:
+        lo, hi, logs = least, 0.0, np.clip(logs, least, 0.0)
     return np.linspace(lo, hi, 256), np.rint((logs - lo) * (255 / (hi - lo) if hi > lo else 0)).astype(np.uint8)
 
 
@@ -147,13 +150,13 @@ class Trie:
             at += n
 
     @staticmethod
-    def build(v: np.ndarray, weight: np.ndarray, pair: tuple, context: tuple, triple: tuple) -> Trie:
+    def build(v: np.ndarray, weight: np.ndarray, pair: tuple, context: tuple, triple: tuple, least: float | None = None) -> Trie:
         """From contexts v (ascending) with log10 backoff weights; pairs (index of v, w, log10 P); contexts u v (index of
         v, u, log10 backoff weight); triples (index of the context u v, w, log10 P). All ascend."""
         ends = lambda of, n: np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n)))).astype(np.int64)
         to_words, to_before, to_third = ends(pair[0], len(v)), ends(context[0], len(v)), ends(triple[0], len(context[0]))
         levels = [v, to_words, _rising(pair[1], to_words), to_before, _rising(context[1], to_before), to_third, _rising(triple[1], to_third)]
-        coded = [_codes(x) for x in (weight, pair[2], context[2], triple[2])]
+        coded = [_codes(x, least) for x in (weight, pair[2], context[2], triple[2])]
         parts = [EliasFano.parts(x.astype(np.int64)) for x in levels]
         head = np.array([x for n, bits, low, high in parts for x in (n, bits, len(low), len(high))], np.int64)
         data = b"".join([head.tobytes(), *(b.tobytes() for b, _ in coded), *(x.tobytes() for p in parts for x in p[2:]), *(c.tobytes() for _, c in coded)])

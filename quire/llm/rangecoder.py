@@ -1,6 +1,9 @@
 """Token-id files: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-Coder. Ids are cut into blocks of BLOCK ids. Every block starts from the same state and is coded by itself, so all
+Phrases. Up to PHRASES pairs of neighbours that are frequent in a frame become symbols of their own, so a block takes about
+half as many coding steps. Below, an id stands for any symbol: an id or a phrase.
+
+Coder. Symbols are cut into blocks of BLOCK. Every block starts from the same state and is coded by itself, so all
 blocks of a frame are coded in lock step, one numpy lane each. Three predictions of the next id share the range of each
 coding step, by weights that adapt in the block:
 - order 2: the id last seen in the block after this pair, with a hit rate learnt for each length of its run of hits;
@@ -12,9 +15,10 @@ The range coder has 64-bit low and range, emits 32-bit words, and shortens the r
 carrying.
 
 Format. A frame is one row (shard int, frame int, n_ids long, data binary) of a Parquet folder, so any store that Spark
-writes will do. `data`, little endian: magic `QIDS2\0`, counts of documents and blocks uint32, bytes of the packed head
-uint32; doc_id int64[], null flags uint8[] and ids of each document uint32[]; ids, words and crc32 of each block
-uint32[]; the head (zlib: the state that blocks start from, see Start.packed); the blocks' 32-bit words. Frames hold
+writes will do. `data`, little endian: magic `QIDS3\0`, counts of documents and blocks uint32, bytes of the packed head
+and of the phrases uint32; doc_id int64[], null flags uint8[] and ids of each document uint32[]; symbols, words and crc32
+(of its ids) of each block uint32[]; the head (zlib: the state that blocks start from, see Start.packed); the phrases (see
+Phrases.packed); the blocks' 32-bit words. Frames hold
 whole documents; shards follow each other in ascending doc_id order.
 
 Defined cases: null texts count as empty and have their end id; null doc_ids come first; rows that repeat a doc_id are
@@ -37,15 +41,18 @@ from pyspark.sql import functions as F
 from quire.llm import bpe as B
 from quire.llm.common import arrow, shared_dir, table
 
-BLOCK = 2048
-LANES = 4096
-MAGIC = b"QIDS2\0"
+BLOCK = 1024  # symbols
+LANES = 8192
+FRAME = 15 << 19  # ids of a frame
+PHRASES = 1 << 14
+OFTEN = 48  # times that a phrase must be seen in the frame
+MAGIC = b"QIDS3\0"
 GROUPS = 2  # of ids by the texts that they prefer
 SEGMENT = 256  # ids that are grouped together when groups are found
 CLASSES = 31
 SHARE = 12  # bits of the shares of classes
 WEIGHT = 10  # bits of the weights of the three predictions
-SLOTS = 128  # of each block's order-2 table
+SLOTS = 64  # of each block's order-2 table
 AFTER = 256  # shares of an order-1 context
 CONTEXTS = 8192  # with order-1 successors
 SEEN = 6  # times that a successor must have been seen in the frame
@@ -59,7 +66,7 @@ def _groups(dense: np.ndarray, n: int) -> np.ndarray:
     segments = len(dense) // SEGMENT
     if segments < 64 * GROUPS:
         return np.zeros(n, np.int64)
-    bins = dense[: segments * SEGMENT].reshape(segments, SEGMENT) * 40503 % 1021 & 255
+    bins = (np.arange(n) * 40503 % 1021 & 255).take(dense[: segments * SEGMENT].reshape(segments, SEGMENT))
     hist = np.bincount((bins + 256 * np.arange(segments)[:, None]).reshape(-1), minlength=256 * segments).reshape(-1, 256).astype(np.float32)
     far = [0]  # first centres: segments that the others explain least
     while len(far) < GROUPS:
@@ -85,6 +92,86 @@ def _shares(counts: np.ndarray, of: np.ndarray, n: int, total: int) -> np.ndarra
     return out
 
 
+def _pairs(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs a * n + b of neighbours among numbers below n, ascending, and how often each occurs."""
+    kind = np.uint32 if n <= 1 << 16 else np.int64
+    x = x.astype(kind)
+    found, times = np.unique(x[:-1] * kind(n) + x[1:], return_counts=True)
+    return found.astype(np.int64), times
+
+
+class Phrases:
+    """Pairs a * base + b of ids, ascending; the k-th is the symbol base + k, and all ids are below base."""
+
+    def __init__(self, base: int, pairs: np.ndarray):
+        self.base, self.pairs = base, pairs
+
+    @classmethod
+    def fit(cls, ids: np.ndarray) -> Phrases:
+        base = int(ids.max(initial=0)) + 1
+        if len(ids) < 2 or base > 1 << 20:
+            return cls(base, np.zeros(0, np.int64))
+        found, times = _pairs(ids, base)
+        good = np.flatnonzero(times >= OFTEN)
+        pairs = found[good[np.argsort(times[good], kind="stable")[-PHRASES:]]]
+        slots = np.zeros(1 << 17, np.int32)
+        slots[cls._slot(pairs)] = np.arange(len(pairs))  # the more frequent one stays
+        return cls(base, np.sort(pairs[slots[cls._slot(pairs)] == np.arange(len(pairs))]))
+
+    @staticmethod
+    def _slot(pairs: np.ndarray) -> np.ndarray:
+        return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(47)).astype(np.int64)
+
+    def merge(self, ids: np.ndarray) -> np.ndarray:
+        """The symbols of ids: from left to right, two that are a phrase become one."""
+        if not len(self.pairs):
+            return ids
+        slots = np.zeros(1 << 17, np.int32)
+        slots[self._slot(self.pairs)] = np.arange(len(self.pairs))
+        out, keep, step = ids.astype(np.int32), np.ones(len(ids), bool), 1 << 17
+        hit, at = np.zeros(len(ids) - 1, bool), np.empty(len(ids) - 1, np.int32)
+        for k in range(0, len(hit), step):
+            pair = ids[k : k + step + 1].astype(np.int64)
+            pair = pair[:-1] * self.base + pair[1:]
+            at[k : k + step] = slots.take(self._slot(pair))
+            hit[k : k + step] = self.pairs.take(at[k : k + step]) == pair
+        i = np.arange(len(hit), dtype=np.int32)
+        begin = hit.copy()
+        begin[1:] &= ~hit[:-1]
+        i -= np.maximum.accumulate(np.where(begin, i, 0))  # every other one of a run
+        taken = np.flatnonzero(hit & (i & 1 == 0))
+        out[taken] = self.base + at[taken]
+        keep[taken + 1] = False
+        return out[keep]
+
+    def widths(self, symbols: np.ndarray) -> np.ndarray:
+        """How many ids each symbol stands for."""
+        return 1 + (symbols >= self.base).astype(np.int64) if len(self.pairs) else np.ones(len(symbols), np.int64)
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        if not len(self.pairs):
+            return symbols.astype(np.uint32)
+        first, second = np.divmod(self.pairs, self.base)
+        ends = np.cumsum(self.widths(symbols))
+        two = np.flatnonzero(symbols >= self.base)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        out[ends - 1] = symbols
+        which, ends = symbols[two] - self.base, ends[two]
+        out[ends - 2], out[ends - 1] = first[which], second[which]
+        return out
+
+    def packed(self) -> bytes:
+        """zlib of planes of 64-bit numbers: base, and the pairs' differences."""
+        flat = np.concatenate([[self.base], np.diff(self.pairs, prepend=0)]).astype("<u8")
+        return zlib.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8).T).tobytes(), 6)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Phrases:
+        raw = np.frombuffer(zlib.decompress(data), np.uint8)
+        flat = np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view("<i8")
+        return cls(int(flat[0]), np.cumsum(flat[1:]))
+
+
 class Start:
     """The state that every block of a frame starts from. Ids are numbered from 0 in the order of their classes."""
 
@@ -139,7 +226,7 @@ class Start:
         shares = _shares(weight.astype(np.float64), np.zeros(len(cut), np.int64), 1, 1 << SHARE)
 
         n = len(names)
-        pairs, times = np.unique(dense[:-1] * n + dense[1:], return_counts=True) if len(dense) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        pairs, times = _pairs(dense, n) if len(dense) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         of, after = np.divmod(pairs, n)
         total = np.bincount(of, times, n)
         good = (times >= SEEN) & (times * 1.5 * AFTER >= total[of])
@@ -286,11 +373,11 @@ def encode_lanes(dense: np.ndarray, start: Start) -> list[np.ndarray]:
     grades = start.grade.take(a)
     places = start.places(a.reshape(-1), grid.reshape(-1)).reshape(grid.shape)
     kinds = start.cls.take(grid)
-    out, pos, short = np.zeros((n, 2 * BLOCK + 2), np.uint32), np.zeros(n, np.int64), int(sizes[-1])
+    out, pos, short = np.zeros((2 * BLOCK + 2, n), np.uint32), np.zeros(n, np.int64), int(sizes[-1])
 
     def put(due: np.ndarray, words: np.ndarray) -> None:
         if len(due):
-            out[due, pos[due]] = words
+            out[pos[due], due] = words
             pos[due] += 1
 
     for t in range(steps):
@@ -325,6 +412,7 @@ def encode_lanes(dense: np.ndarray, start: Start) -> list[np.ndarray]:
             put(*m.narrow(j, m.low[j] + (x[j] - start.first.take(c)).astype(np.uint64) * r, r))
         m.learn(x, second, first)
     final = np.stack([(m.low >> _U32).astype(np.uint32), (m.low & _LOW32).astype(np.uint32)], 1)  # a point of what is left
+    out = np.ascontiguousarray(out[: int(pos.max())].T)
     return [np.concatenate((out[i, : pos[i]], final[i])) for i in range(n)]
 
 
@@ -388,23 +476,32 @@ def decode_lanes(sizes: np.ndarray, words: np.ndarray, counts: np.ndarray, start
 
 
 def frame(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    sizes = _sizes(len(ids))
-    crc = [zlib.crc32(ids[k : k + BLOCK].tobytes()) for k in range(0, len(ids), BLOCK)]
-    start, dense = Start.fit(ids)
-    words = [w for k in range(0, len(ids), BLOCK * LANES) for w in encode_lanes(dense[k : k + BLOCK * LANES], start)]
-    packed = start.packed()
+    phrases = Phrases.fit(ids)
+    symbols = phrases.merge(ids)
+    sizes = _sizes(len(symbols))
+    crc = _crcs(ids, phrases.widths(symbols))
+    start, dense = Start.fit(symbols)
+    words = [w for k in range(0, len(dense), BLOCK * LANES) for w in encode_lanes(dense[k : k + BLOCK * LANES], start)]
+    packed, pairs = start.packed(), phrases.packed()
     names = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()
     null = np.array([d is None for d in doc_ids], np.uint8).tobytes()
     tables = [np.asarray(x, "<u4").tobytes() for x in (counts, sizes, [len(w) for w in words], crc)]
-    return b"".join([_HEAD.pack(MAGIC, len(doc_ids), len(sizes), len(packed)), names, null, *tables, packed, *(w.astype("<u4").tobytes() for w in words)])
+    return b"".join([_HEAD.pack(MAGIC, len(doc_ids), len(sizes), len(packed), len(pairs)), names, null, *tables, packed, pairs, *(w.astype("<u4").tobytes() for w in words)])
+
+
+def _crcs(ids: np.ndarray, widths: np.ndarray) -> list[int]:
+    """The crc32 of the ids of each block."""
+    ends = np.append(np.cumsum(widths)[BLOCK - 1 :: BLOCK], len(ids))
+    starts = np.concatenate(([0], ends[:-1]))
+    return [zlib.crc32(ids[a:z].tobytes()) for a, z in zip(starts, ends) if a < z]
 
 
-_HEAD = struct.Struct("<6sIII")
+_HEAD = struct.Struct("<6sIIII")
 
 
 def unframe(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """Document ids, ids of each, and all ids of a frame."""
-    magic, docs, blocks, packed = _HEAD.unpack_from(data)
+    magic, docs, blocks, packed, pairs = _HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a frame of token ids")
     at = _HEAD.size
@@ -417,16 +514,17 @@ def unframe(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
     names, null = read("<i8", docs), read("u1", docs)
     counts, sizes, lengths, crc = read("<u4", docs), read("<u4", blocks), read("<u4", blocks), read("<u4", blocks)
-    start = Start.unpacked(read("u1", packed).tobytes())
+    start, phrases = Start.unpacked(read("u1", packed).tobytes()), Phrases.unpacked(read("u1", pairs).tobytes())
     words = read("<u4", int(lengths.sum()))
-    ends, parts = np.cumsum(lengths, dtype=np.int64), [np.empty(0, np.uint32)]
+    ends, parts = np.cumsum(lengths, dtype=np.int64), [np.empty(0, np.int64)]
     for i in range(0, blocks, LANES):
         j = min(i + LANES, blocks)
         dense = decode_lanes(sizes[i:j].astype(np.int64), words[ends[i] - lengths[i] : ends[j - 1]], lengths[i:j].astype(np.int64), start)
-        parts.append(start.names[dense].astype(np.uint32))
-    ids = np.concatenate(parts)
-    for i in range(blocks):
-        if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes()) != crc[i]:
+        parts.append(start.names[dense])
+    symbols = np.concatenate(parts)
+    ids = phrases.expand(symbols)
+    for i, told in enumerate(_crcs(ids, phrases.widths(symbols))):
+        if told != crc[i]:
             raise ValueError(f"block {i}: its ids do not match its checksum")
     return [None if z else i for i, z in zip(names.tolist(), null)], counts.astype(np.int64), ids
 
@@ -449,7 +547,7 @@ def write_ids(df: DataFrame, path: str, vocab: str, end_id: int, id_col: str = "
             out = np.full(len(ids) + len(n), end_id, np.uint32)
             out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
             own, parts, sizes, total = own + names, [*parts, out], [*sizes, n + 1], total + len(out)
-            if total >= BLOCK * LANES * 15 // 16:
+            if total >= FRAME:
                 yield made()
                 own, parts, sizes, total, number = [], [], [], 0, number + 1
         if own:

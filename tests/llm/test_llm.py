@@ -171,6 +171,21 @@ def test_range_coder_predicts(docs):
     assert (rangecoder.unframe(rangecoder.frame([1], np.array([len(wide)]), wide))[2] == wide).all()
 
 
+def test_range_coder_phrases(docs):
+    """Text takes at most two thirds as many coding steps as it has ids; runs and overlaps come back."""
+    own = bpe.Bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = own.encode_many(pa.array([d["text"] for d in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()]))[0]
+    rng = np.random.default_rng(6)
+    runs = [np.zeros(n) for n in (1, 2, 3, 5000, 5001)] + [np.tile([7, 8, 7], 400), np.repeat(rng.integers(0, 3, 900), rng.integers(1, 9, 900)), rng.integers(0, 2, 9000) * (1 << 19)]
+    for x in (ids, *(y.astype(np.uint32) for y in runs)):
+        phrases = rangecoder.Phrases.fit(x)
+        symbols = phrases.merge(x)
+        again = rangecoder.Phrases.unpacked(phrases.packed())
+        assert (again.expand(symbols) == x).all() and phrases.widths(symbols).sum() == len(x)
+        assert (rangecoder.unframe(rangecoder.frame([1], np.array([len(x)]), x))[2] == x).all()
+    assert len(rangecoder.Phrases.fit(ids).merge(ids)) < 0.67 * len(ids)
+
+
 def test_text_is_joined_at_real_places(docs):
     """Halves of whole texts meet inside words; windows settle them, and the ids are those of the library."""
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):

@@ -519,8 +519,8 @@ def test_lm_in_small_parts(spark, docs, monkeypatch):
     assert sum(split[i]["score"] for i in held) > sum(whole[i]["base_score"] for i in held)
 
 
-def test_lm_scores_do_not_depend_on_cuts(spark, docs):
-    """Contexts, pairs and triples of words of any frequency, and any batches, shards and cells: the same scores."""
+def test_lm_scores_do_not_depend_on_cuts(spark, docs, monkeypatch):
+    """Contexts, pairs and triples of words of any frequency, and any batches, shards, cells and merged parts: the same scores."""
     from pyspark.sql import functions as F
 
     texts = {d["doc_id"]: d["text"] for d in docs[:40]} | {10**6 + i: "of the one of the one of the " * 30 + f"x{i % 4} of the" for i in range(20)} | {10**7: "", 10**7 + 1: "of of of of " * 200}
@@ -529,6 +529,9 @@ def test_lm_scores_do_not_depend_on_cuts(spark, docs):
     whole = {r["doc_id"]: r["score"] for r in lm.score(df, trains, split=1 << 40).collect()}
     for split, rest in ((400, {}), (40, {"grams": 500, "batch": 20_000}), (7, {"grams": 500, "batch": 5_000, "tokens": 300})):
         assert {r["doc_id"]: r["score"] for r in lm.score(df, trains, split=split, **rest).collect()} == whole
+    monkeypatch.setattr(lm, "FAN", 4)
+    monkeypatch.setattr(lm, "PAIRS", 5000)
+    assert {r["doc_id"]: r["score"] for r in lm.score(df, trains, grams=500, split=40, batch=20_000).collect()} == whole
     tokens = {i: [*t.encode().lower().split(), None] for i, t in texts.items()}
     want, _ = plain_scores(tokens, {i for i in tokens if i % 5})
     assert all(whole[i] == pytest.approx(want[i][3], abs=0.015 * len(tokens[i]) + 0.1) for i in whole)
